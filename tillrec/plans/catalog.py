@@ -505,3 +505,65 @@ def e08(spark, sf):
     t = base.tx(spark, sf)
     recs = _recs_out(NB.recommend_user_based(IN.interactions(t)))
     return NB.enrich(recs, merchant_info(t))
+
+
+# ----------------------------------------------------------------------------
+# evaluation of the neighbourhood and popularity models
+# ----------------------------------------------------------------------------
+
+from ..operators import evaluate as EV  # noqa: E402
+from . import evaluation as EVP  # noqa: E402
+
+_EVAL = IXB + O.holdout_ctes() + O.cf_recs_ctes() + O.ranking_ctes()
+
+
+@q("g01_holdout", W(IXB + O.holdout_ctes(), "SELECT client_id, merchant_id, n_items, is_holdout FROM split"))
+def g01(spark, sf):
+    return EV.holdout_per_user(base.ix(spark, sf)).select("client_id", "merchant_id", "n_items", "is_holdout")
+
+
+@q("g04_ranking_metrics", W(_EVAL, "SELECT * FROM ranking"))
+def g04(spark, sf):
+    return EVP.cf_metrics(EVP.cf_run(base.ix(spark, sf)))[0]
+
+
+@q("g06_coverage", W(_EVAL, "SELECT * FROM cov"))
+def g06(spark, sf):
+    return EVP.cf_metrics(EVP.cf_run(base.ix(spark, sf)))[1]
+
+
+_CMP_SQL = "SELECT model, " + ", ".join(
+    (f"max(CASE WHEN metric = '{m}' AND k = {k} THEN value END) AS {m}_{k}" if k else
+     f"max(CASE WHEN metric = '{m}' AND k IS NULL THEN value END) AS {m}")
+    for m, k in EV.COMPARE_COLUMNS
+) + " FROM metrics GROUP BY model"
+
+
+@q("g07_compare_models", W(_EVAL, _CMP_SQL))
+def g07(spark, sf):
+    return EV.compare_models(EVP.cf_metrics(EVP.cf_run(base.ix(spark, sf)))[2])
+
+
+@q("g08_best_by_metric", W(_EVAL, """SELECT metric, k, model AS best_model, value AS best_value FROM (
+  SELECT *, row_number() OVER (PARTITION BY metric, k
+            ORDER BY CASE WHEN metric IN ('rmse', 'mae') THEN value ELSE -value END, model) AS rn
+  FROM metrics WHERE value IS NOT NULL) q WHERE rn = 1"""))
+def g08(spark, sf):
+    return EV.best_by_metric(EVP.cf_metrics(EVP.cf_run(base.ix(spark, sf)))[2])
+
+
+@q("g09_recall_series", W(_EVAL, """SELECT k, max(CASE WHEN model = 'item_based' THEN value END) AS item_based,
+  max(CASE WHEN model = 'popularity' THEN value END) AS popularity,
+  max(CASE WHEN model = 'user_based' THEN value END) AS user_based
+  FROM metrics WHERE metric = 'recall' AND k IS NOT NULL GROUP BY k"""))
+def g09(spark, sf):
+    return EV.metric_series(EVP.cf_metrics(EVP.cf_run(base.ix(spark, sf)))[2], "recall")
+
+
+_SELF = IXB + O.holdout_ctes(divisor=2, min_items=2, salt="selfeval") + O.cf_recs_ctes(("user_based",), 10) + O.ranking_ctes((10,))
+
+
+@q("g11_cf_self_eval", W(_SELF, "SELECT * FROM ranking"))
+def g11(spark, sf):
+    run = EVP.cf_run(base.ix(spark, sf), n=10, divisor=2, min_items=2, models=("user_based",), salt="selfeval")
+    return EV.ranking_metrics(run.recs, run.relevant, run.users, (10,))

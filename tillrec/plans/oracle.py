@@ -152,3 +152,73 @@ def top_n(scored: str, n: int) -> str:
   SELECT client_id, merchant_id, score,
          row_number() OVER (PARTITION BY client_id ORDER BY score DESC, merchant_id ASC) AS rank
   FROM {scored}) q WHERE rank <= {n}"""
+
+
+# --- evaluation ---------------------------------------------------------------
+
+def holdout_ctes(divisor: int = 3, min_items: int = 3, salt: str = "holdout") -> list[str]:
+    """split / train / rel / eu (evaluated users with their holdout size)."""
+    return [
+        f"""split AS (
+  SELECT client_id, merchant_id, transaction_count, n_items,
+         (n_items >= {min_items} AND hr <= greatest(1, floor(n_items / {divisor}))) AS is_holdout
+  FROM (SELECT *, count(*) OVER (PARTITION BY client_id) AS n_items,
+               row_number() OVER (PARTITION BY client_id ORDER BY {hash_key(salt, 'client_id', 'merchant_id')}, merchant_id) AS hr
+        FROM ix) q)""",
+        "train AS (SELECT client_id, merchant_id, transaction_count FROM split WHERE NOT is_holdout)",
+        "rel AS (SELECT client_id, merchant_id FROM split WHERE is_holdout)",
+        "eu AS (SELECT client_id, count(*) AS n_relevant FROM rel GROUP BY client_id)",
+    ]
+
+
+def cf_recs_ctes(models=("popularity", "user_based", "item_based"), n: int = 20) -> list[str]:
+    ctes: list[str] = []
+    sel = []
+    if "popularity" in models:
+        ctes += popular_ctes("pp", "train", users="eu")
+        sel.append(("popularity", "pp"))
+    if "user_based" in models:
+        ctes += user_based_ctes("ub", "train")
+        sel.append(("user_based", "ub"))
+    if "item_based" in models:
+        ctes += item_based_ctes("ib", "train")
+        sel.append(("item_based", "ib"))
+    union = "\n  UNION ALL ".join(
+        f"SELECT '{m}' AS model, client_id, rank, merchant_id FROM ({top_n(c, n)}) t{j} "
+        f"WHERE client_id IN (SELECT client_id FROM eu)"
+        for j, (m, c) in enumerate(sel)
+    )
+    return ctes + [f"recs AS (\n  {union})"]
+
+
+def ranking_ctes(ks=(5, 10, 20)) -> list[str]:
+    klist = ", ".join(str(k) for k in ks)
+    return [
+        "models AS (SELECT DISTINCT model FROM recs)",
+        f"ks AS (SELECT unnest([{klist}]) AS k)",
+        """pu AS (
+  SELECT m.model, e.client_id, e.n_relevant, ks.k,
+         count(CASE WHEN r.rank <= ks.k AND rl.merchant_id IS NOT NULL THEN 1 END) AS hits,
+         count(CASE WHEN r.rank <= ks.k THEN 1 END) AS nrec
+  FROM models m CROSS JOIN eu e CROSS JOIN ks
+  LEFT JOIN recs r ON r.model = m.model AND r.client_id = e.client_id
+  LEFT JOIN rel rl ON rl.client_id = r.client_id AND rl.merchant_id = r.merchant_id
+  GROUP BY m.model, e.client_id, e.n_relevant, ks.k)""",
+        """mm AS (
+  SELECT model, k, count(*) AS n_users,
+         avg(CASE WHEN nrec > 0 THEN hits / nrec ELSE 0.0 END) AS p,
+         avg(CASE WHEN n_relevant > 0 THEN hits / n_relevant ELSE 0.0 END) AS r
+  FROM pu GROUP BY model, k)""",
+        """ranking AS (
+  SELECT model, CAST(k AS INTEGER) AS k, n_users, round(p, 6) AS precision, round(r, 6) AS recall,
+         round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM mm)""",
+        """cov AS (
+  SELECT model, round(count(DISTINCT CASE WHEN rank <= 10 THEN merchant_id END)
+                      / (SELECT count(DISTINCT merchant_id) FROM ix), 6) AS coverage
+  FROM recs GROUP BY model)""",
+        """metrics AS (
+  SELECT model, 'precision' AS metric, k, precision AS value FROM ranking
+  UNION ALL SELECT model, 'recall', k, recall FROM ranking
+  UNION ALL SELECT model, 'f1', k, f1 FROM ranking
+  UNION ALL SELECT model, 'coverage', CAST(NULL AS INTEGER), coverage FROM cov)""",
+    ]
