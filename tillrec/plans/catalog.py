@@ -567,3 +567,99 @@ _SELF = IXB + O.holdout_ctes(divisor=2, min_items=2, salt="selfeval") + O.cf_rec
 def g11(spark, sf):
     run = EVP.cf_run(base.ix(spark, sf), n=10, divisor=2, min_items=2, models=("user_based",), salt="selfeval")
     return EV.ranking_metrics(run.recs, run.relevant, run.users, (10,))
+
+
+# ----------------------------------------------------------------------------
+# latent-factor models (F6-F13, D31, G4/G7/G8/G12 over all models).  No SQL
+# twin: checked by the property tests (tests/test_micro_fixture.py,
+# tests/test_factors.py) — the driver records rows only.
+# ----------------------------------------------------------------------------
+
+from ..operators import factors as FA  # noqa: E402
+
+_MF_CACHE: dict = {}
+
+
+def _mf(spark, sf, k: int = 20, nmf_iter: int = 30):
+    """One fitted SVD + NMF evaluation run per (application, data, k)."""
+    key = (spark.sparkContext.applicationId, sf, k, nmf_iter)
+    if key not in _MF_CACHE:
+        _MF_CACHE.clear()
+        _MF_CACHE[key] = EVP.mf_run(IN.ratings(base.tx_plain(spark, sf)), k=k, nmf_iter=nmf_iter)
+    return _MF_CACHE[key]
+
+
+@q("f06_svd_singular_values")
+def f06(spark, sf):
+    m = _mf(spark, sf).models["svd"]
+    rows = [(j, float(s)) for j, s in enumerate(m.sigma)]
+    return spark.createDataFrame(rows, "factor int, singular_value double")
+
+
+@q("f07_explained_variance")
+def f07(spark, sf):
+    m = _mf(spark, sf).models["svd"]
+    return spark.createDataFrame([(m.k, float(m.explained_variance_ratio))], "k int, explained_variance_ratio double")
+
+
+@q("f08_nmf_fit")
+def f08(spark, sf):
+    m = _mf(spark, sf).models["nmf"]
+    return spark.createDataFrame([(m.k, m.n_iter, float(m.reconstruction_err))], "k int, iterations int, reconstruction_err double")
+
+
+@q("f10_predictions")
+def f10(spark, sf):
+    return _mf(spark, sf).test_pred.select("model", "client_id", "merchant_id", r6("rating"), r6("prediction"))
+
+
+@q("f11_rating_errors")
+def f11(spark, sf):
+    e = EVP.mf_errors(_mf(spark, sf))
+    return e.select("model", r6("rmse"), r6("mae"), "n")
+
+
+@q("d31_actual_vs_predicted")
+def d31(spark, sf):
+    p = _mf(spark, sf).test_pred
+    return p.groupBy("model").agg(
+        F.round(F.avg("rating"), 6).alias("actual_mean"), F.round(F.stddev_pop("rating"), 6).alias("actual_std"),
+        F.round(F.avg("prediction"), 6).alias("predicted_mean"), F.round(F.stddev_pop("prediction"), 6).alias("predicted_std"),
+    )
+
+
+@q("f12_recommend_svd")
+def f12(spark, sf):
+    run = _mf(spark, sf)
+    r = run.eval.recs.where(F.col("model") == "svd").where(F.col("rank") <= 10)
+    return r.select("client_id", "rank", "merchant_id", r6("score"))
+
+
+@q("f13_factor_top_items")
+def f13(spark, sf):
+    run = _mf(spark, sf)
+    info = merchant_info(base.tx(spark, sf))
+    out = []
+    for name in ("svd", "nmf"):
+        t = FA.factor_top_items(run.models[name], 5, 5, info).withColumn("model", F.lit(name))
+        out.append(t.select("model", "factor", "rank", "merchant_id", r6("weight"), "merchant_city", "merchant_state", "mcc_description"))
+    return out[0].unionByName(out[1])
+
+
+def _all_metrics(spark, sf):
+    cf_rank, cf_cov, cf_long = EVP.cf_metrics(EVP.cf_run(base.ix(spark, sf)))
+    run = _mf(spark, sf)
+    mf_rank = EV.ranking_metrics(run.eval.recs, run.eval.relevant, run.eval.users)
+    mf_cov = EV.coverage(run.eval.recs, run.eval.n_items, 10)
+    mf_long = EV.metrics_long(mf_rank, mf_cov, EVP.mf_errors(run))
+    return cf_long.unionByName(mf_long)
+
+
+@q("g12_model_comparison_all")
+def g12(spark, sf):
+    return EV.compare_models(_all_metrics(spark, sf))
+
+
+@q("g12_best_by_metric_all")
+def g12b(spark, sf):
+    return EV.best_by_metric(_all_metrics(spark, sf))
