@@ -82,10 +82,13 @@ def item_similarity(ix: DataFrame, value: str = "transaction_count", heavy_degre
 
 
 def mirror(pairs: DataFrame, a: str, b: str, key: str = "id", other: str = "neighbor") -> DataFrame:
-    """Both directions of each unordered pair: (key, neighbor, sim)."""
-    return pairs.select(F.col(a).alias(key), F.col(b).alias(other), "sim").unionByName(
-        pairs.select(F.col(b).alias(key), F.col(a).alias(other), "sim")
+    """Both directions of each unordered pair: (key, neighbor, sim), from one
+    pass over the pair table."""
+    both = F.array(
+        F.struct(F.col(a).alias(key), F.col(b).alias(other), F.col("sim")),
+        F.struct(F.col(b).alias(key), F.col(a).alias(other), F.col("sim")),
     )
+    return pairs.select(F.explode(both).alias("_p")).select("_p.*")
 
 
 def nearest(pairs: DataFrame, a: str, b: str, n: int = 10, key: str = "id", other: str = "neighbor",

@@ -91,10 +91,9 @@ def read_evaluation_results(spark: SparkSession, path: str) -> DataFrame:
         "model_name string, rmse double, mae double, coverage double, "
         "precision_at_k map<string,double>, recall_at_k map<string,double>, f1_at_k map<string,double>"
     )
-    raw = spark.read.option("multiLine", True).json(path, schema=f"root map<string, struct<{schema}>>")
-    if "root" not in raw.columns:  # pragma: no cover - schema form above always yields root
-        raise ValueError("unexpected evaluation results layout")
-    return from_results_map(raw.select(F.explode("root").alias("model", "r")))
+    text = spark.read.text(path, wholetext=True)
+    models = text.select(F.explode(F.from_json("value", f"map<string, struct<{schema}>>")).alias("model", "r"))
+    return from_results_map(models)
 
 
 def from_results_map(models: DataFrame) -> DataFrame:
