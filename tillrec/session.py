@@ -35,9 +35,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of the session.
 
-    On a cluster this is the shared folder named by ``spark.checkpoint.dir``;
-    it is only invented here (a fresh temp folder) when nothing is configured,
-    which is the case in tests and local runs.
+    This is the shared folder named by ``spark.checkpoint.dir``.  Only a
+    single-process local session (tests, bench) without one gets a fresh
+    temp folder; on a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -45,6 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tillrec-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
