@@ -53,3 +53,40 @@ def before_cells(cells: DataFrame, order: list[str], sums: list[str], within: li
 def hex_bucket(hex_col: Column, buckets: Column) -> Column:
     """Monotone bucket 0 .. buckets-1 of a hex digest by its first eight digits."""
     return F.floor(F.conv(F.substring(hex_col, 1, 8), 16, 10).cast("double") * buckets / F.lit(4294967296.0)).cast("bigint")
+
+
+FLUSH_BYTES = 8 << 20
+
+
+def map_rows(df: DataFrame, make, schema: str, weigh=None) -> DataFrame:
+    """``mapInArrow`` over lists of rows: ``make()`` gives, once per task, a
+    function (row tuple) -> output tuple.  Output is flushed every
+    ``FLUSH_BYTES`` of what ``weigh(output tuple)`` counts (or 4096 rows), so
+    long texts never gather in one batch."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow: pa.Schema = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        one = make()
+        out, held = [], 0
+
+        def flush():
+            cols = list(zip(*out)) if out else [()] * len(arrow)
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+        for batch in batches:
+            columns = batch.columns
+            for i in range(batch.num_rows):
+                row = one(*[c[i].as_py() for c in columns])
+                out.append(row)
+                held += weigh(row) if weigh else 0
+                if held >= FLUSH_BYTES or len(out) >= 4096:
+                    yield flush()
+                    out, held = [], 0
+        if out:
+            yield flush()
+
+    return df.mapInArrow(run, schema)

@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tillrec.llm.common import table
+from tillrec.llm.decontaminate import contamination_digest
 from tillrec.llm.mixing import mix_sources
 from tillrec.llm.sharding import shard_by_bytes
+from tillrec.llm.tokencount import token_digest
+
+#: Vocabulary of the token counts; the file is read where the driver runs.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,14 +25,26 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-word benchmark windows in all documents."""
+    return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
 def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight byte-balanced shards of all documents."""
     return shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=8)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents from counts at every prefix."""
+    return token_digest(table(spark, sf_dir, "documents"), vocabulary_path(), limit=1024)
+
+
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
+    "op5_decontaminate": op5_decontaminate,
     "op9_shard_documents": op9_shard_documents,
+    "op10_token_counts": op10_token_counts,
 }
 
 SQL: dict[str, str] = {}
