@@ -8,6 +8,7 @@ from tillrec.llm.common import table
 from tillrec.llm.decontaminate import contamination_digest
 from tillrec.llm.mixing import mix_sources
 from tillrec.llm.sharding import shard_by_bytes
+from tillrec.llm.simhash import simhash_digest
 from tillrec.llm.tokencount import token_digest
 
 #: Vocabulary of the token counts; the file is read where the driver runs.
@@ -25,6 +26,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents at four differing bits."""
+    return simhash_digest(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten-word benchmark windows in all documents."""
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
@@ -42,6 +48,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
+    "op4_simhash_components": op4_simhash_components,
     "op5_decontaminate": op5_decontaminate,
     "op9_shard_documents": op9_shard_documents,
     "op10_token_counts": op10_token_counts,
