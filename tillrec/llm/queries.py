@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tillrec.llm.ann import nearest_by_codes
 from tillrec.llm.common import table
 from tillrec.llm.decontaminate import contamination_digest
 from tillrec.llm.mixing import mix_sources
@@ -21,6 +23,11 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_nearest_by_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty nearest rows of every twentieth vector, by one-bit codes and reranking."""
+    return nearest_by_codes(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted-fair-queueing mix of all documents."""
     return mix_sources(table(spark, sf_dir, "documents"))
@@ -47,6 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_nearest_by_codes": op2_nearest_by_codes,
     "op3_mix_sources": op3_mix_sources,
     "op4_simhash_components": op4_simhash_components,
     "op5_decontaminate": op5_decontaminate,
