@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillrec.llm.ann import nearest_by_codes
 from tillrec.llm.common import table
 from tillrec.llm.decontaminate import contamination_digest
+from tillrec.llm.langid import identify_languages
 from tillrec.llm.mixing import mix_sources
 from tillrec.llm.sharding import shard_by_bytes
 from tillrec.llm.simhash import simhash_digest
@@ -23,6 +24,11 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a bidirectional gated network over bytes."""
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op2_nearest_by_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty nearest rows of every twentieth vector, by one-bit codes and reranking."""
     return nearest_by_codes(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
@@ -54,6 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_nearest_by_codes": op2_nearest_by_codes,
     "op3_mix_sources": op3_mix_sources,
     "op4_simhash_components": op4_simhash_components,
