@@ -10,6 +10,7 @@ from tillrec.llm.common import table
 from tillrec.llm.decontaminate import contamination_digest
 from tillrec.llm.langid import identify_languages
 from tillrec.llm.mixing import mix_sources
+from tillrec.llm.pii import pii_digest
 from tillrec.llm.sharding import shard_by_bytes
 from tillrec.llm.simhash import simhash_digest
 from tillrec.llm.tokencount import token_digest
@@ -49,6 +50,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: exact patterns plus the network's spans."""
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight byte-balanced shards of all documents."""
     return shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=8)
@@ -65,6 +71,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_simhash_components": op4_simhash_components,
     "op5_decontaminate": op5_decontaminate,
+    "op6_personal_data": op6_personal_data,
     "op9_shard_documents": op9_shard_documents,
     "op10_token_counts": op10_token_counts,
 }
