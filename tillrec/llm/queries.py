@@ -10,6 +10,7 @@ from tillrec.llm.common import table
 from tillrec.llm.decontaminate import contamination_digest
 from tillrec.llm.langid import identify_languages
 from tillrec.llm.mixing import mix_sources
+from tillrec.llm.pfp import remove_repeats
 from tillrec.llm.pii import pii_digest
 from tillrec.llm.sharding import shard_by_bytes
 from tillrec.llm.simhash import simhash_digest
@@ -55,6 +56,11 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes under 50-byte strings that also start in an earlier document."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight byte-balanced shards of all documents."""
     return shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=8)
@@ -72,6 +78,7 @@ QUERIES = {
     "op4_simhash_components": op4_simhash_components,
     "op5_decontaminate": op5_decontaminate,
     "op6_personal_data": op6_personal_data,
+    "op7_remove_repeats": op7_remove_repeats,
     "op9_shard_documents": op9_shard_documents,
     "op10_token_counts": op10_token_counts,
 }
