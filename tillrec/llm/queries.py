@@ -12,6 +12,7 @@ from tillrec.llm.langid import identify_languages
 from tillrec.llm.mixing import mix_sources
 from tillrec.llm.pfp import remove_repeats
 from tillrec.llm.pii import pii_digest
+from tillrec.llm.quality import score_documents
 from tillrec.llm.sharding import shard_by_bytes
 from tillrec.llm.simhash import simhash_digest
 from tillrec.llm.tokencount import token_digest
@@ -61,6 +62,11 @@ def op7_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity of all documents by co-trained classifiers."""
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight byte-balanced shards of all documents."""
     return shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=8)
@@ -79,6 +85,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_personal_data": op6_personal_data,
     "op7_remove_repeats": op7_remove_repeats,
+    "op8_quality": op8_quality,
     "op9_shard_documents": op9_shard_documents,
     "op10_token_counts": op10_token_counts,
 }
