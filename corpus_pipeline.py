@@ -11,13 +11,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tillrec.llm.common import table
+from tillrec.llm.decontaminate import decontaminated
 from tillrec.llm.mixing import mixed_documents
+from tillrec.llm.quality import good_documents
 from tillrec.llm.sharding import shard_by_bytes
+from tillrec.llm.simhash import one_of_each
 from tillrec.session import ensure_checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifiers keep."""
+    return good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component."""
+    return one_of_each(docs, shingle=4, radius=4)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a ten-word window of a benchmark item."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"), window=10)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the weighted-fair-queueing mix takes them."""
     return mixed_documents(docs)
@@ -29,6 +48,9 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
     ("mix", mix),
     ("shard", shard),
 ]
