@@ -23,6 +23,8 @@ from tillrec.llm.common import col, map_rows, reliable
 
 #: Bounds of the training sample: labelled and unlabelled documents, and content features of a target.
 LABELLED, UNLABELLED, VOCABULARY = 6000, 3000, 1500
+#: Standard errors by which a content feature's shares must differ.
+CLEAR = 4.0
 ROUNDS, SURE, EXCHANGED = 3, 0.97, 300
 CHUNK = 1 << 20
 TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+")
@@ -209,7 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
         gap = F.abs(F.col("p") / max(1, size["p"]) - (F.col("d") - F.col("p")) / max(1, size["n"] - size["p"]))
         # difference of the shares in standard errors
         rate = F.col("d") / max(1, size["n"])
-        best = per.where("d >= 4").withColumn("s", gap / F.sqrt(rate * (1 - rate) + 1e-4)).orderBy(F.col("s").desc(), "word").limit(VOCABULARY)
+        error = F.sqrt((rate * (1 - rate) + 1e-4) * (1 / max(1, size["p"]) + 1 / max(1, size["n"] - size["p"])))
+        best = per.where("d >= 4").withColumn("s", gap / error).where(F.col("s") >= CLEAR).orderBy(F.col("s").desc(), "word").limit(VOCABULARY)
         words |= {r["word"] for r in best.collect()}
     number = {w: k for k, w in enumerate(sorted(words))}
     vocabulary = docs.sparkSession.createDataFrame([(w,) for w in number], "word string")
