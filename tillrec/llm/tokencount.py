@@ -23,6 +23,7 @@ import json
 import re
 
 import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -291,8 +292,6 @@ def chars_within_budget(counts: DataFrame, budget: int) -> DataFrame:
     """Adds ``n_chars_within``: the longest prefix, in code points, whose
     encoding has at most ``budget`` tokens, and ``tokens_within``, its count.
     Reads the stored counts only."""
-    import pandas as pd
-
     @F.pandas_udf("n_chars_within bigint, tokens_within bigint")
     def within(prefix: pd.Series) -> pd.DataFrame:
         chars = [_chars_within(p, budget) for p in prefix]
