@@ -139,14 +139,9 @@ def f1(p, r) -> Column:
 
 
 def money_sum(col) -> Column:
-    """Exact sum of a 2-decimal money column, returned as double."""
-    return F.sum(_c(col).cast("decimal(18,2)")).cast("double")
-
-
-def money_avg(col) -> Column:
-    """Exact-sum mean: decimal sum over non-null count, as double."""
-    c = _c(col)
-    return (F.sum(c.cast("decimal(18,2)")).cast("double") / F.count(c)).alias("avg")
+    """Sum of an amount column, exact to ten decimals whatever the order of
+    the rows, returned as double."""
+    return F.sum(_c(col).cast("decimal(28,10)")).cast("double")
 
 
 def hash_unit(*cols, salt: str = "") -> Column:

@@ -49,13 +49,14 @@ def sample_users(ix: DataFrame, n: int | None = None, salt: str = "users", user:
 
 def ranking_metrics(
     recs: DataFrame, relevant: DataFrame, users: DataFrame, ks=KS,
-    user: str = "client_id", item: str = "merchant_id", model_col: str = "model",
+    user: str = "client_id", item: str = "merchant_id", model_col: str = "model", models: list[str] | None = None,
 ) -> DataFrame:
     """G4 + G5: (model, k, n_users, precision, recall, f1).
 
     ``recs`` (model, user, rank, item) ranked once at max K; ``relevant``
     (user, item); ``users`` (user, n_relevant) are the evaluated users — a
-    user without recommendations counts with precision = recall = 0."""
+    user without recommendations counts with precision = recall = 0.
+    ``models`` names the models; left out, they are read from ``recs``."""
     rel = relevant.select(user, item).withColumn("_hit", F.lit(1))
     r = recs.join(rel, [user, item], "left")
     aggs = []
@@ -66,12 +67,10 @@ def ranking_metrics(
             F.sum(F.when(in_k, 1).otherwise(0)).alias(f"_n{k}"),
         ]
     per = r.groupBy(model_col, user).agg(*aggs)
-    models = recs.select(model_col).distinct()
-    # every (model, evaluated user): the model list is a handful of rows, so
-    # it is broadcast and paired with the users on a constant key
-    mk = models.withColumn("_one", F.lit(1))
-    uk = users.select(user, "n_relevant").withColumn("_one", F.lit(1))
-    grid = uk.join(F.broadcast(mk), "_one").drop("_one")
+    if models is None:
+        models = sorted(r[0] for r in recs.select(model_col).distinct().collect())  # a handful of names
+    # every (model, evaluated user)
+    grid = users.select(user, "n_relevant", F.explode(F.array(*[F.lit(m) for m in models]).cast("array<string>")).alias(model_col))
     full = grid.join(per, [model_col, user], "left").fillna(0)
     rows = []
     for k in ks:
@@ -107,17 +106,17 @@ def coverage(recs: DataFrame, n_items: DataFrame, k: int = 10, item: str = "merc
 def metrics_long(ranking: DataFrame, cov: DataFrame | None = None, errors: DataFrame | None = None,
                  model_col: str = "model") -> DataFrame:
     """(model, metric, k, value) from the per-K table, coverage and RMSE/MAE."""
-    parts = []
-    for m in ("precision", "recall", "f1"):
-        parts.append(ranking.select(model_col, F.lit(m).alias("metric"), F.col("k").cast("int").alias("k"),
-                                    F.col(m).cast("double").alias("value")))
+    none = F.lit(None).cast("int")
+
+    def long(df: DataFrame, names: tuple[str, ...], k) -> DataFrame:
+        items = [F.struct(F.lit(m).alias("metric"), k.alias("k"), F.col(m).cast("double").alias("value")) for m in names]
+        return df.select(model_col, F.explode(F.array(*items)).alias("_m")).select(model_col, "_m.*")
+
+    parts = [long(ranking, ("precision", "recall", "f1"), F.col("k").cast("int"))]
     if cov is not None:
-        parts.append(cov.select(model_col, F.lit("coverage").alias("metric"), F.lit(None).cast("int").alias("k"),
-                                F.col("coverage").cast("double").alias("value")))
+        parts.append(long(cov, ("coverage",), none))
     if errors is not None:
-        for m in ("rmse", "mae"):
-            parts.append(errors.select(model_col, F.lit(m).alias("metric"), F.lit(None).cast("int").alias("k"),
-                                       F.col(m).cast("double").alias("value")))
+        parts.append(long(errors, ("rmse", "mae"), none))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -158,9 +157,7 @@ def best_by_metric(metrics: DataFrame, model_col: str = "model") -> DataFrame:
     )
 
 
-def metric_series(metrics: DataFrame, metric: str, model_col: str = "model") -> DataFrame:
-    """One metric by K with one column per model (chart input)."""
-    models = sorted(r[0] for r in metrics.select(model_col).distinct().collect())  # few models
-    return metrics.where((F.col("metric") == metric) & F.col("k").isNotNull()).groupBy("k").pivot(model_col, models).agg(
-        F.first("value")
-    )
+def metric_series(metrics: DataFrame, metric: str, models: list[str], model_col: str = "model") -> DataFrame:
+    """One metric by K with one column for each of ``models`` (chart input)."""
+    rows = metrics.where((F.col("metric") == metric) & F.col("k").isNotNull())
+    return rows.groupBy("k").pivot(model_col, sorted(models)).agg(F.first("value"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import top_n_per_group
+from .common import heavy_keys, top_n_per_group
 
 DEFAULT_HEAVY_DEGREE = 2000
 
@@ -40,8 +40,8 @@ def cosine_pairs(
     norms = base.groupBy("_k").agg(F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_n"))
     w = base.join(norms, "_k")
     if heavy_degree:
-        deg = base.groupBy("_x").agg(F.count(F.lit(1)).alias("_d"))
-        w = w.join(deg, "_x").withColumn("_B", F.greatest(F.lit(1), F.ceil(F.col("_d") / F.lit(heavy_degree))))
+        heavy = F.broadcast(heavy_keys(base, "_x", heavy_degree))  # at most rows / heavy_degree keys
+        w = w.join(heavy, "_x", "left").withColumn("_B", F.coalesce("_parts", F.lit(1)))
         w = w.withColumn("_c", F.pmod(F.xxhash64("_k"), F.col("_B")))
         rep = F.explode(F.sequence(F.lit(0), F.col("_B") - 1))
         left = w.select(
@@ -70,15 +70,15 @@ def cosine_pairs(
 
 
 def user_similarity(ix: DataFrame, value: str = "transaction_count", heavy_degree: int | None = DEFAULT_HEAVY_DEGREE,
-                    user: str = "client_id", item: str = "merchant_id") -> DataFrame:
-    """(user_a, user_b, sim), user_a < user_b, sim > 0 only."""
-    return cosine_pairs(ix, user, item, value, heavy_degree, "user_a", "user_b")
+                    user: str = "client_id", item: str = "merchant_id", min_sim: float = 0.0) -> DataFrame:
+    """(user_a, user_b, sim), user_a < user_b, sim > ``min_sim`` only."""
+    return cosine_pairs(ix, user, item, value, heavy_degree, "user_a", "user_b").where(F.col("sim") > min_sim)
 
 
 def item_similarity(ix: DataFrame, value: str = "transaction_count", heavy_degree: int | None = DEFAULT_HEAVY_DEGREE,
-                    user: str = "client_id", item: str = "merchant_id") -> DataFrame:
-    """(item_a, item_b, sim) on the transpose."""
-    return cosine_pairs(ix, item, user, value, heavy_degree, "item_a", "item_b")
+                    user: str = "client_id", item: str = "merchant_id", min_sim: float = 0.0) -> DataFrame:
+    """(item_a, item_b, sim > ``min_sim``) on the transpose."""
+    return cosine_pairs(ix, item, user, value, heavy_degree, "item_a", "item_b").where(F.col("sim") > min_sim)
 
 
 def mirror(pairs: DataFrame, a: str, b: str, key: str = "id", other: str = "neighbor") -> DataFrame:

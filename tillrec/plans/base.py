@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.clean import clean_transactions
-from ..operators.interactions import interactions
+from ..operators.interactions import interactions, pair_counts
 from ..sources import adapters as A
 
 
@@ -30,3 +30,13 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1 interactions of the retail transactions."""
     return interactions(tx_plain(spark, sf_dir))
+
+
+def cf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3 row counts per (user, item), the input of the neighbourhood and
+    popularity models: a transaction without an amount counts too."""
+    return visits(tx_plain(spark, sf_dir))
+
+
+def visits(transactions: DataFrame) -> DataFrame:
+    return pair_counts(transactions).withColumnRenamed("count", "transaction_count")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as EV
 from ..operators import factors as FA
 from ..operators import neighbors as NB
-from ..operators.interactions import split_interactions
+from ..session import reliable
 
 CF_MODELS = ("popularity", "user_based", "item_based")
 
@@ -28,6 +28,7 @@ class EvalRun:
     relevant: DataFrame  # (client_id, merchant_id)
     users: DataFrame  # (client_id, n_relevant)
     n_items: DataFrame  # one row (n_items)
+    models: list[str]
 
 
 def cf_run(ix: DataFrame, n: int = max(EV.KS), divisor: int = 3, min_items: int = 3, models=CF_MODELS,
@@ -43,12 +44,14 @@ def cf_run(ix: DataFrame, n: int = max(EV.KS), divisor: int = 3, min_items: int
     }
     parts = [builders[m]().withColumn("model", F.lit(m)) for m in models]
     recs = reduce(lambda a, b: a.unionByName(b), parts).select("model", "client_id", "rank", "merchant_id", "score")
+    # the short lists are written once; every metric reads them from there
+    recs = reliable(recs)
     n_items = ix.agg(F.countDistinct("merchant_id").alias("n_items"))
-    return EvalRun(recs, relevant, users, n_items)
+    return EvalRun(recs, relevant, users, n_items, list(models))
 
 
 def cf_metrics(run: EvalRun, ks=EV.KS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    ranking = EV.ranking_metrics(run.recs, run.relevant, run.users, ks)
+    ranking = EV.ranking_metrics(run.recs, run.relevant, run.users, ks, models=run.models)
     cov = EV.coverage(run.recs, run.n_items, 10)
     return ranking, cov, EV.metrics_long(ranking, cov)
 
@@ -60,30 +63,26 @@ class MFRun:
     eval: EvalRun
 
 
-def mf_run(ratings: DataFrame, k: int = 20, test_ratio: float = 0.3, n: int = max(EV.KS), nmf_iter: int = 30,
-           models=("svd", "nmf"), min_items: int = 3, salt: str = "split", seed: int = 42) -> MFRun:
-    """Fit SVD and NMF on the training split of the ratings, predict the test
-    split (RMSE/MAE) and rank, for every user with ≥ ``min_items`` ratings
-    and ≥ 1 test rating, the items without a training rating."""
-    split = split_interactions(ratings, test_ratio, salt=salt)
-    train = split.where(~F.col("is_test"))
-    test = split.where(F.col("is_test")).select("client_id", "merchant_id", "rating")
-    n_users = ratings.select("client_id").distinct().count()
-    n_items_all = ratings.select("merchant_id").distinct().count()
+def mf_run(ratings: DataFrame, k: int = 20, n: int = max(EV.KS), nmf_iter: int = 500, divisor: int = 3,
+           models=("svd", "nmf"), min_items: int = 3, salt: str = "holdout", seed: int = 42) -> MFRun:
+    """Fit SVD and NMF on the ratings outside the per-user holdout that
+    ``cf_run`` draws too, so all models share training pairs, evaluated users
+    and relevant items.  The held-out ratings are predicted (RMSE/MAE), and
+    each evaluated user's items without a training rating are ranked."""
+    split = reliable(EV.holdout_per_user(ratings, divisor=divisor, min_items=min_items, salt=salt))
+    train = split.where(~F.col("is_holdout"))
+    test = split.where(F.col("is_holdout")).select("client_id", "merchant_id", "rating")
+    size = split.agg(F.countDistinct("client_id").alias("u"), F.countDistinct("merchant_id").alias("i")).first()
     fitted: dict[str, FA.FactorModel] = {}
     if "svd" in models:
-        fitted["svd"] = FA.fit_svd(train, k=k, n_users=n_users, seed=seed)
+        fitted["svd"] = FA.fit_svd(train, k=k, n_users=size["u"], seed=seed)
     if "nmf" in models:
-        fitted["nmf"] = FA.fit_nmf(train, k=k, max_iter=nmf_iter, n_users=n_users, n_items=n_items_all, seed=seed)
+        fitted["nmf"] = FA.fit_nmf(train, k=k, max_iter=nmf_iter, n_users=size["u"], n_items=size["i"], seed=seed)
     preds = [FA.predict(m, test).withColumn("model", F.lit(name)) for name, m in fitted.items()]
     test_pred = reduce(lambda a, b: a.unionByName(b), preds)
-    counts = ratings.groupBy("client_id").agg(F.count(F.lit(1)).alias("_n"))
-    users = (
-        test.groupBy("client_id").agg(F.count(F.lit(1)).alias("n_relevant"))
-        .join(counts.where(F.col("_n") >= min_items), "client_id", "left_semi")
-    )
+    users = test.groupBy("client_id").agg(F.count(F.lit(1)).alias("n_relevant"))
     visited = train.select("client_id", "merchant_id")
-    catalogue = ratings.select("merchant_id").distinct()
+    catalogue = split.select("merchant_id").distinct()
     recs = reduce(
         lambda a, b: a.unionByName(b),
         [
@@ -91,8 +90,8 @@ def mf_run(ratings: DataFrame, k: int = 20, test_ratio: float = 0.3, n: int = ma
             for name, m in fitted.items()
         ],
     ).select("model", "client_id", "rank", "merchant_id", "score")
-    n_items = ratings.agg(F.countDistinct("merchant_id").alias("n_items"))
-    return MFRun(fitted, test_pred, EvalRun(recs, test, users, n_items))
+    n_items = split.agg(F.countDistinct("merchant_id").alias("n_items"))
+    return MFRun(fitted, test_pred, EvalRun(reliable(recs), test, users, n_items, list(fitted)))
 
 
 def mf_errors(run: MFRun) -> DataFrame:

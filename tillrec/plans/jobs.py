@@ -48,7 +48,7 @@ def prepare(spark: SparkSession, inp: str, out: str, limit: int | None = None) -
 def recommend(spark: SparkSession, inp: str, out: str) -> dict:
     """Day 2: user-based and item-based CF for every user, enriched."""
     tx = spark.read.parquet(f"{out}/transactions")
-    ix = spark.read.parquet(f"{out}/user_merchant_interactions")
+    ix = base.visits(tx)
     info = merchant_info(tx)
     NB.enrich(NB.recommend_user_based(ix), info).write.mode("overwrite").parquet(f"{out}/recs_user_based")
     NB.enrich(NB.recommend_item_based(ix), info).write.mode("overwrite").parquet(f"{out}/recs_item_based")
@@ -60,24 +60,25 @@ def factors(spark: SparkSession, inp: str, out: str, k: int = 30) -> dict:
     """Day 3: ratings, split, SVD and NMF, top-N and factor reports."""
     tx = spark.read.parquet(f"{out}/transactions")
     r = IN.ratings(tx)
-    run = EVP.mf_run(r, k=k, test_ratio=0.2)
     info = merchant_info(tx)
     res = {}
-    for name, m in run.models.items():
+    seen, items = r.select("client_id", "merchant_id"), r.select("merchant_id")
+    for name, m in (("svd", FA.fit_svd(r, k=k)), ("nmf", FA.fit_nmf(r, k=k))):
         FA.factor_top_items(m, 5, 5, info).write.mode("overwrite").parquet(f"{out}/factors_{name}_top_items")
+        FA.recommend_factors(m, seen, items, info=info).write.mode("overwrite").parquet(f"{out}/recs_{name}")
         res[name] = {"k": m.k, "explained_variance_ratio": m.explained_variance_ratio,
                      "reconstruction_err": m.reconstruction_err}
-    run.eval.recs.write.mode("overwrite").parquet(f"{out}/recs_factors")
-    EVP.mf_errors(run).write.mode("overwrite").parquet(f"{out}/factor_errors")
     return res
 
 
 def evaluate(spark: SparkSession, inp: str, out: str, k: int = 20) -> dict:
     """Day 4: one holdout, all models, metrics, comparison, best model."""
-    ix = spark.read.parquet(f"{out}/user_merchant_interactions")
+    tx = spark.read.parquet(f"{out}/transactions")
+    ix = base.visits(tx)
     cf = EVP.cf_metrics(EVP.cf_run(ix))[2]
-    run = EVP.mf_run(IN.ratings(spark.read.parquet(f"{out}/transactions")), k=k, test_ratio=0.3)
-    mf_rank = EV.ranking_metrics(run.eval.recs, run.eval.relevant, run.eval.users)
+    run = EVP.mf_run(IN.ratings(tx), k=k)
+    mf_rank = EV.ranking_metrics(run.eval.recs, run.eval.relevant, run.eval.users, models=run.eval.models)
+    EVP.mf_errors(run).write.mode("overwrite").parquet(f"{out}/factor_errors")
     mf = EV.metrics_long(mf_rank, EV.coverage(run.eval.recs, run.eval.n_items), EVP.mf_errors(run))
     metrics = cf.unionByName(mf)
     metrics.write.mode("overwrite").parquet(f"{out}/metrics")

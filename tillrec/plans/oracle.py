@@ -55,7 +55,7 @@ EV = f"""ev AS (
          0 AS is_fraud, event_type AS mcc_description, {_parts('ts')}, {_bucket('value')} AS amount_category
   FROM events)"""
 
-MONEY_SUM = "CAST(sum(CAST({x} AS DECIMAL(18,2))) AS DOUBLE)"
+MONEY_SUM = "CAST(sum(CAST({x} AS DECIMAL(28,10))) AS DOUBLE)"
 
 
 def msum(x: str) -> str:
