@@ -196,7 +196,6 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame, window: int = 10
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        "spans",
     )
 
 

@@ -90,4 +90,58 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 
-SQL: dict[str, str] = {}
+#: The weighted-fair-queueing mix with whole-table windows.
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source AS s, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS h
+  FROM documents),
+src AS (
+  SELECT s, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY s NULLS LAST) - 1 AS rk FROM d GROUP BY s),
+w AS (
+  SELECT *, CASE rk % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS wt, source_size * 2.0::DOUBLE AS cap,
+         (SELECT sum(source_size) FROM src) * 1.5::DOUBLE AS budget
+  FROM src),
+f AS (
+  SELECT a.*, (SELECT sum(least(b.wt * (a.cap / a.wt), b.cap)) FROM w b) <= a.budget + 1e-6 AS stopped FROM w a),
+t AS (
+  SELECT *, CASE WHEN stopped THEN cap
+                 ELSE wt * (budget - (SELECT coalesce(sum(cap), 0) FROM f WHERE stopped)) / (SELECT sum(wt) FROM f WHERE NOT stopped) END AS target
+  FROM f),
+q AS (
+  SELECT d.*, t.rk, t.wt, t.source_size, t.target, t.budget, row_number() OVER () AS id,
+         sum(size) OVER (PARTITION BY t.rk ORDER BY h, size ROWS UNBOUNDED PRECEDING) AS cum
+  FROM d JOIN t ON d.s IS NOT DISTINCT FROM t.s),
+c AS (
+  SELECT id, size, budget, sum(size) OVER (ORDER BY (e * source_size + cum) / wt, rk, e, h ROWS UNBOUNDED PRECEDING) AS run
+  FROM q, (VALUES (0), (1)) x(e) WHERE size > 0),
+u AS (SELECT id, CAST(sum(CASE WHEN run <= budget THEN size ELSE 0 END) AS BIGINT) AS taken FROM c GROUP BY id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM q LEFT JOIN u USING (id)"""
+
+#: Every window of every item against every run of as many words.
+OP5_SQL = r"""
+WITH low AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0) x),
+grams AS (
+  SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS g
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM low, (SELECT DISTINCT n FROM win) k WHERE len(w) >= n) x),
+hits AS (SELECT DISTINCT r, i, win.n, item FROM grams JOIN win USING (n, g)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) x GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS s
+          FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) x GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM low LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
+
+SQL: dict[str, str] = {"op3_mix_sources": OP3_SQL, "op5_decontaminate": OP5_SQL}
