@@ -19,10 +19,12 @@ from tillrec.operators import factors as FA  # noqa: E402
 from tillrec.operators import interactions as IN  # noqa: E402
 from tillrec.plans import base  # noqa: E402
 from tillrec.plans import catalog  # noqa: E402
-from tillrec.session import local_session  # noqa: E402
+from tillrec.session import local_session, reliable  # noqa: E402
 
 HEADLINE = [
     "c01_clean_transactions",
+    "b04_describe_numeric",
+    "f02_item_index",
     "d01_interactions",
     "d27_user_profile",
     "w01_long_tail",
@@ -53,18 +55,21 @@ def main() -> None:
         t0 = time.time()
         run_noop(catalog.QUERIES[name](spark, sf_dir))
         times[name] = round(time.time() - t0, 3)
-    if not only or "f06_svd_fit" in only or "f08_nmf_fit" in only:
-        ratings = IN.ratings(base.tx_plain(spark, sf_dir))
-        if not only or "f06_svd_fit" in only:
-            t0 = time.time()
-            FA.fit_svd(ratings, k=20)
-            times["f06_svd_fit"] = round(time.time() - t0, 3)
+    if not only or {"f06_svd_fit", "f08_nmf_fit", "f12_recommend_factors"} & set(only):
+        ratings = reliable(IN.ratings(base.tx_plain(spark, sf_dir)))
+        t0 = time.time()
+        svd = FA.fit_svd(ratings, k=30)
+        times["f06_svd_fit"] = round(time.time() - t0, 3)
         if not only or "f08_nmf_fit" in only:
             t0 = time.time()
-            m = FA.fit_nmf(ratings, k=20, max_iter=30)
+            m = FA.fit_nmf(ratings, k=30)
             times["f08_nmf_fit"] = round(time.time() - t0, 3)
-            times["f08_nmf_iterations"] = m.n_iter
-    total = round(sum(v for k, v in times.items() if not k.endswith("_iterations")), 3)
+            times["f08_nmf_iterations"], times["f08_nmf_converged"] = m.n_iter, m.converged
+        if not only or "f12_recommend_factors" in only:
+            t0 = time.time()
+            run_noop(FA.recommend_factors(svd, ratings.select("client_id", "merchant_id"), ratings.select("merchant_id")))
+            times["f12_recommend_factors"] = round(time.time() - t0, 3)
+    total = round(sum(v for k, v in times.items() if not k.endswith(("_iterations", "_converged"))), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_total_wall", "value": total, "unit": "sec", "queries": times, "sf": sf,
                       "cpus": cpus}))

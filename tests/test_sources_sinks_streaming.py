@@ -45,9 +45,7 @@ def test_code_map_and_labels(spark):
 
     codes = {r.mcc: r.mcc_description for r in read_code_map(spark, f"{d}/codes.json").collect()}
     assert codes == MICRO_CODES
-    small = sorted(tuple(r) for r in read_labels(spark, f"{d}/labels.json").collect())
-    large = sorted(tuple(r) for r in read_labels(spark, f"{d}/labels.json", large=True).collect())
-    assert small == large == sorted(MICRO_LABELS.items())
+    assert sorted(tuple(r) for r in read_labels(spark, f"{d}/labels.json").collect()) == sorted(MICRO_LABELS.items())
 
 
 def test_read_all_union_by_name(spark):
@@ -58,6 +56,40 @@ def test_read_all_union_by_name(spark):
 
     df = read_all(spark, f"{d}/*.csv")
     assert sorted(df.columns) == ["id", "x", "y"] and df.count() == 2
+    _write_csv(f"{d}/c.csv", ["id", "x"], [(3, "r")])
+    assert sorted((r.id, r.x, r.y) for r in read_all(spark, f"{d}/*.csv").collect()) == [("1", "p", None), ("2", None, "q"), ("3", "r", None)]
+
+
+def test_users_and_cards_csv(spark):
+    from tillrec.sources.readers import read_cards, read_users
+    from tillrec.sources.schemas import CARD_COLUMNS, USER_COLUMNS
+
+    d = _fresh()
+    for read, columns in ((read_users, USER_COLUMNS), (read_cards, CARD_COLUMNS)):
+        names = list(columns)
+        _write_csv(f"{d}/{read.__name__}.csv", names[::-1], [["1"] * len(names)])
+        df = read(spark, f"{d}/{read.__name__}.csv")
+        assert df.columns == names and df.count() == 1
+
+
+def test_profile_and_samples(spark, micro_tx):
+    from tillrec.operators import profile as PR
+
+    schema = {r.column_name: r.data_type for r in PR.profile_schema(spark, micro_tx).collect()}
+    assert list(schema) == micro_tx.columns and schema["amount"] == "double"
+    num, cat = PR.column_kinds(micro_tx)
+    assert "amount" in num and "merchant_city" in cat
+    a, b = (sorted(r.id for r in PR.sample_rows(micro_tx.repartition(k), 4).collect()) for k in (1, 3))
+    assert a == b and len(a) == 4
+
+
+def test_interactions_sink(spark, micro_ix):
+    from tillrec.sources import sinks
+
+    d = _fresh()
+    sinks.write_interactions(micro_ix, f"{d}/p")
+    sinks.write_interactions(micro_ix, f"{d}/c", fmt="csv")
+    assert spark.read.parquet(f"{d}/p").count() == spark.read.option("header", True).csv(f"{d}/c").count() == micro_ix.count()
 
 
 def test_head_sample_is_opt_in(micro_tx):
@@ -91,6 +123,8 @@ def test_sinks_round_trip(spark, micro_tx, micro_ix):
     objs = [json.loads(line) for f in files for line in open(f"{d}/eval/{f}")]
     svd = next(o for o in objs if o["model"] == "svd")
     assert svd["precision_at_k"] == {"5": 0.1, "10": 0.05} and svd["rmse"] == 0.5
+    back = read_evaluation_results(spark, f"{d}/eval")
+    assert sorted((r.model, r.metric, r.k or 0, r.value) for r in back.collect()) == sorted((r.model, r.metric, r.k or 0, r.value) for r in metrics.collect())
     # Read it back as one JSON document keyed by model
     doc = {o["model"]: {k: v for k, v in o.items() if k != "model"} for o in objs}
     with open(f"{d}/results.json", "w") as f:

@@ -47,11 +47,6 @@ def format_money(col) -> Column:
     return F.concat(F.lit("$"), F.format_number(_c(col), 2))
 
 
-def abs_amount(col) -> Column:
-    """C3."""
-    return F.abs(_c(col))
-
-
 def clip(col, lo: float, hi: float) -> Column:
     """C4: clip into [lo, hi]; null stays null (``least``/``greatest`` skip nulls)."""
     c = _c(col)
@@ -89,11 +84,6 @@ def amount_category(col) -> Column:
     )
 
 
-def key_string(col) -> Column:
-    """Integer key → string key for dictionary lookups."""
-    return _c(col).cast("string")
-
-
 def ellipsize(col, n: int) -> Column:
     """First n characters plus '...' when longer than n."""
     c = _c(col)
@@ -115,11 +105,6 @@ def month_name(col) -> Column:
     return F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), _c(col).cast("int"))
 
 
-def log1p(col) -> Column:
-    """C13."""
-    return F.log1p(_c(col))
-
-
 def fixed4_or_na(col) -> Column:
     """C14: 4-decimal text, 'N/A' when missing."""
     c = _c(col)

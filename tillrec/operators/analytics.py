@@ -202,6 +202,12 @@ def binned_pairs(df: DataFrame, x: str, y: str, x_width: float, y_width: float)
     )
 
 
+def pair_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(n, corr) of the rows that have both numbers."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return both.agg(F.count(F.lit(1)).alias("n"), F.round(F.corr(x, y), 6).alias("corr"))
+
+
 def characteristics(tx: DataFrame) -> DataFrame:
     """Users, merchants, transactions per user."""
     return tx.agg(
@@ -254,7 +260,7 @@ def long_tail(tx: DataFrame, item: str = "merchant_id") -> DataFrame:
     cum(rank) = (sum over better levels) + n·(rank − merchants on better
     levels).  Only the level table (one row per distinct count; at most
     √(2·rows) rows, hence broadcast) needs a global window; the ranks come
-    from the bounded two-level ``ordered_rank``."""
+    from the range-partitioned ``ordered_rank``."""
     pop = merchant_popularity(tx, item)
     ranked = ordered_rank(pop, "n", item)
     lv = pop.groupBy("n").agg(F.count(F.lit(1)).alias("_c"))

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest side (rows) that ``checked_broadcast`` will ship to every executor.
-BROADCAST_MAX_ROWS = 2_000_000
+from ..session import reliable
 
+# Largest side (bytes, by the optimizer's estimate) that ``checked_broadcast`` ships to every executor.
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it is proven small (one count job);
-    otherwise return it unchanged so the planner shuffles it."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+def checked_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only if the optimizer's size estimate, an upper bound
+    for projections and filters of files, is small; no job is run.  Otherwise
+    the planner and adaptive execution decide from measured sizes."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def top_n_per_group(
@@ -50,41 +54,56 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, limit: int = 100_00
     return a.join(b, [key, "_salt"]).drop("_salt")
 
 
+def _ranged(df: DataFrame, order: list[Column], weight: Column) -> DataFrame:
+    """``df`` range-partitioned and written in that form, with its partition
+    ``_p`` and ``_before``, the weight of all earlier partitions.  Only one
+    number per partition meets in a single task."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = reliable(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_p").agg(F.sum(weight).alias("_t"))
+    before = totals.select("_p", F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_before"))
+    return ranged.join(F.broadcast(before), "_p")  # one row per partition
+
+
 def ordered_rank(
-    df: DataFrame,
-    level_col: str,
-    id_col: str,
-    rank_col: str = "rank",
-    level_desc: bool = True,
-    bucket_width: int = 4096,
+    df: DataFrame, level_col: str, id_col: str, rank_col: str = "rank", level_desc: bool = True
 ) -> DataFrame:
     """Exact 1-based rank of every row by (level desc|asc, id asc) without a
-    single-partition window.
-
-    ``id_col`` must be unique.  rank = rows on better levels + rows of the
-    same level in lower id buckets + position inside the id bucket.  Every
-    window is bounded: the level table has one row per distinct level, the
-    bucket table one row per (level, bucket), and a bucket holds at most
-    ``bucket_width`` ids.  A level holding most of the rows is therefore
-    spread over many buckets instead of one task.
-    """
-    lv, idc = F.col(level_col), F.col(id_col)
-    base = df.withColumn("_b", F.floor(idc / F.lit(bucket_width)))
-    # one row per level: rows before it in the global order
-    levels = base.groupBy(level_col).agg(F.count(F.lit(1)).alias("_lc"))
-    lvl_order = lv.desc() if level_desc else lv.asc()
-    wl = Window.orderBy(lvl_order).rowsBetween(Window.unboundedPreceding, -1)
-    levels = levels.withColumn("_before_level", F.coalesce(F.sum("_lc").over(wl), F.lit(0))).drop("_lc")
-    # one row per (level, bucket): rows of the same level in lower buckets
-    buckets = base.groupBy(level_col, "_b").agg(F.count(F.lit(1)).alias("_bc"))
-    wb = Window.partitionBy(level_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("_before_bucket", F.coalesce(F.sum("_bc").over(wb), F.lit(0))).drop("_bc")
-    wi = Window.partitionBy(level_col, "_b").orderBy(idc)
-    ranked = base.withColumn("_pos", F.row_number().over(wi))
-    out = (
-        ranked.join(levels, level_col)
-        .join(buckets, [level_col, "_b"])
-        .withColumn(rank_col, (F.col("_before_level") + F.col("_before_bucket") + F.col("_pos")).cast("bigint"))
-        .drop("_b", "_pos", "_before_level", "_before_bucket")
-    )
-    return out
+    single-partition window, for ids of any orderable type.
+
+    ``id_col`` must be unique.  Rows are range-partitioned by (level, id), so
+    a level that holds most rows spreads over many partitions; a rank is the
+    rows of earlier partitions plus the position inside its own."""
+    order = [F.col(level_col).desc() if level_desc else F.col(level_col).asc(), F.col(id_col).asc()]
+    ranged = _ranged(df, order, F.lit(1))
+    pos = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return ranged.withColumn(rank_col, (F.col("_before") + pos).cast("bigint")).drop("_p", "_before")
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """(column_name, prob, value): interpolated quantiles of each column's
+    non-null numbers.  Values are counted, range-partitioned by (column,
+    value) and summed up by partition; the rows that hold the two order
+    statistics of a quantile give it."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("_x")) for c in columns])
+    long = df.select(F.explode(cells).alias("_c")).select("_c.*").where(F.col("_x").isNotNull())
+    freq = long.groupBy("column_name", "_x").agg(F.count(F.lit(1)).alias("_k"))
+    order = [F.col("column_name").asc(), F.col("_x").asc()]
+    ranged = _ranged(freq, order, F.col("_k"))
+    w = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("_end", F.col("_before") + F.sum("_k").over(w))
+    sizes = ranged.groupBy("column_name").agg(F.sum("_k").alias("_n"))
+    wc = Window.orderBy("column_name").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(wc), F.lit(0)))
+    asked = sizes.withColumn("prob", F.explode(F.array(*[F.lit(float(q)) for q in probs])))
+    at = (F.col("_n") - 1) * F.col("prob")
+    asked = asked.select(
+        "column_name", "prob", (at - F.floor(at)).alias("_part"),
+        (F.col("_first") + F.floor(at)).alias("_lo"), (F.col("_first") + F.ceil(at)).alias("_hi"),
+    )  # columns x probs rows
+    holds = lambda c: (F.col(c) >= F.col("_end") - F.col("_k")) & (F.col(c) < F.col("_end"))
+    got = placed.join(F.broadcast(asked), "column_name").where(holds("_lo") | holds("_hi"))
+    value = lambda c: F.max(F.when(holds(c), F.col("_x")))
+    ends = got.groupBy("column_name", "prob", "_part").agg(value("_lo").alias("_a"), value("_hi").alias("_b"))
+    return ends.select("column_name", "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).alias("value"))

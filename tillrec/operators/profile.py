@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import exact_quantiles
+
 
 def profile_schema(spark: SparkSession, df: DataFrame) -> DataFrame:
     """B1: (position, column_name, data_type)."""
@@ -42,7 +44,8 @@ STATS = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
 
 def describe_numeric(df: DataFrame, columns: list[str] | None = None, digits: int = 4) -> DataFrame:
     """Count, mean, sample std, min, exact interpolated quartiles, max
-    per numeric column — one aggregation, then unpivot."""
+    per numeric column — one aggregation, unpivoted, and the quartiles by
+    distributed ranks."""
     cols = columns or column_kinds(df)[0]
     aggs = []
     for c in cols:
@@ -52,13 +55,11 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None, digits: in
             F.avg(x).alias(f"{c}__mean"),
             F.stddev_samp(x).alias(f"{c}__std"),
             F.min(x).alias(f"{c}__min"),
-            F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}__q"),
             F.max(x).alias(f"{c}__max"),
         ]
     row = df.agg(*aggs)
     structs = []
     for c in cols:
-        q = F.col(f"`{c}__q`")
         structs.append(
             F.struct(
                 F.lit(c).alias("column_name"),
@@ -66,13 +67,14 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None, digits: in
                 F.round(F.col(f"`{c}__mean`"), digits).alias("mean"),
                 F.round(F.col(f"`{c}__std`"), digits).alias("std"),
                 F.col(f"`{c}__min`").alias("min"),
-                F.round(q[0], digits).alias("q25"),
-                F.round(q[1], digits).alias("q50"),
-                F.round(q[2], digits).alias("q75"),
                 F.col(f"`{c}__max`").alias("max"),
             )
         )
-    return row.select(F.explode(F.array(*structs)).alias("_s")).select("_s.*")
+    stats = row.select(F.explode(F.array(*structs)).alias("_s")).select("_s.*")
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75]).groupBy("column_name").agg(
+        *[F.round(F.max(F.when(F.col("prob") == v, F.col("value"))), digits).alias(n) for n, v in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))]
+    )
+    return stats.join(q, "column_name", "left").select("column_name", *STATS)
 
 
 def shape(df: DataFrame) -> DataFrame:

@@ -93,6 +93,25 @@ def b03(spark, sf):
     return PR.top_null_columns(base.tx(spark, sf), 10)
 
 
+_NULLS_EV_SQL = _NULLS_SQL.replace("FROM tx", "FROM ev")
+
+
+@q("b02_null_counts_events", W([O.EV], _NULLS_EV_SQL))
+def b02e(spark, sf):
+    """Events carry no place and no code: whole columns are null."""
+    return PR.null_counts(base.ev(spark, sf))
+
+
+@q("b03_top_null_columns_events", W([O.EV], f"SELECT * FROM ({_NULLS_EV_SQL}) q ORDER BY n_null DESC, column_name LIMIT 10"))
+def b03e(spark, sf):
+    return PR.top_null_columns(base.ev(spark, sf), 10)
+
+
+@q("b09_drop_incomplete_events", W([O.EV], "SELECT id, date, client_id, amount, merchant_id FROM ev WHERE id IS NOT NULL AND date IS NOT NULL AND client_id IS NOT NULL AND amount IS NOT NULL AND merchant_id IS NOT NULL"))
+def b09e(spark, sf):
+    return PR.drop_incomplete(base.ev(spark, sf).select("id", "date", "client_id", "amount", "merchant_id"))
+
+
 _NUM_COLS = ["id", "client_id", "amount", "merchant_id", "mcc", "is_fraud", "year", "month", "day", "hour", "day_of_week"]
 _DESCRIBE_SQL = " UNION ALL ".join(
     f"""SELECT '{c}' AS column_name, count({c}) AS count, round(avg(CAST({c} AS DOUBLE)), 4) AS mean,
@@ -278,6 +297,38 @@ def d15d(spark, sf):
     return AN.histogram(spark, users, "income", 30)
 
 
+@q("d15_credit_limit_histogram", _hist_sql("SELECT CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS x FROM customer", 20))
+def d15e(spark, sf):
+    from ..functions.scalar import parse_money
+
+    cards = A.retail_cards(spark, sf).select(parse_money("credit_limit").alias("credit_limit"))
+    return AN.histogram(spark, cards, "credit_limit", 20)
+
+
+_INCOME_ACTIVITY = """pairs AS (
+  SELECT CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS income, CAST(t.n AS DOUBLE) AS n_tx
+  FROM customer JOIN (SELECT client_id, count(*) AS n FROM tx WHERE client_id IS NOT NULL GROUP BY 1) t ON c_custkey = t.client_id)"""
+
+
+def _income_activity(spark, sf):
+    """Income of each customer and, as the driver data have no credit score, the number of their transactions."""
+    from ..functions.scalar import parse_money
+
+    users = A.retail_users(spark, sf).select(F.col("id").alias("client_id"), parse_money("yearly_income").alias("income"))
+    return users.join(AN.per_user_counts(base.tx_plain(spark, sf)), "client_id").select("income", F.col("n").cast("double").alias("n_tx"))
+
+
+@q("d25_income_vs_activity_bins", W(TXB + [_INCOME_ACTIVITY], """SELECT CAST(floor(income / 1000) AS BIGINT) AS x_bin,
+  CAST(floor(n_tx / 10) AS BIGINT) AS y_bin, count(*) AS n FROM pairs WHERE income IS NOT NULL GROUP BY 1, 2"""))
+def d25(spark, sf):
+    return AN.binned_pairs(_income_activity(spark, sf), "income", "n_tx", 1000, 10)
+
+
+@q("d25_income_vs_activity_corr", W(TXB + [_INCOME_ACTIVITY], "SELECT count(*) AS n, round(corr(income, n_tx), 6) AS corr FROM pairs WHERE income IS NOT NULL"))
+def d25b(spark, sf):
+    return AN.pair_correlation(_income_activity(spark, sf), "income", "n_tx")
+
+
 @q("d16_card_type_share", """SELECT c_mktsegment AS card_type, n, round(n / sum(n) OVER (), 6) AS share FROM (
   SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1) q""")
 def d16(spark, sf):
@@ -523,6 +574,12 @@ def g01(spark, sf):
     return EV.holdout_per_user(base.cf(spark, sf)).select("client_id", "merchant_id", "n_items", "is_holdout")
 
 
+@q("g03_sample_users", W(IXB, f"SELECT client_id FROM (SELECT DISTINCT client_id FROM ix) u ORDER BY {O.hash_key('users', 'client_id')}, client_id LIMIT 100"))
+def g03(spark, sf):
+    """A repeatable sample of 100 evaluation users (sampling is the feature)."""
+    return EV.sample_users(base.cf(spark, sf), 100)
+
+
 @q("g04_ranking_metrics", W(_EVAL, "SELECT * FROM ranking"))
 def g04(spark, sf):
     return EVP.cf_metrics(EVP.cf_run(base.cf(spark, sf)))[0]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob as _glob
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,14 +46,9 @@ def read_code_map(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("mcc", "mcc_description"))
 
 
-def read_labels(spark: SparkSession, path: str, large: bool = False) -> DataFrame:
-    """A5: ``{"target": {"<id>": "Yes"|"No", ...}}`` → (id, label).
-
-    ``large=True`` splits the single JSON object on commas, so a file of any
-    size is read by many tasks instead of one."""
-    if not large:
-        obj = spark.read.schema("target map<string,string>").option("multiLine", True).json(path)
-        return obj.select(F.explode("target").alias("id", "label"))
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """A5: ``{"target": {"<id>": "Yes"|"No", ...}}`` → (id, label).  The one
+    JSON object is split at its commas, so many tasks read a large file."""
     parts = spark.read.option("lineSep", ",").text(path)
     pat = r'"(\d+)"\s*:\s*"(Yes|No)"'
     return (
@@ -67,12 +61,19 @@ def read_labels(spark: SparkSession, path: str, large: bool = False) -> DataFram
 
 
 def read_all(spark: SparkSession, pattern: str) -> DataFrame:
-    """Read every CSV matching a glob and stack them by column name
-    (headers may differ between files; missing columns become null)."""
-    files = sorted(_glob.glob(pattern))
+    """Every CSV matching a glob, stacked by column name (headers may
+    differ between files; missing columns become null).  Files are listed by
+    the file system of the path, one job reads the header lines, and files
+    with the same header are one scan."""
+    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
+    numbered = lines.withColumn("m", F.monotonically_increasing_id()).where("b = 0")
+    first = numbered.groupBy("f").agg(F.min_by("value", "m").alias("header"))
+    files: dict[str, list[str]] = {}
+    for r in first.orderBy("f").collect():  # one row per file
+        files.setdefault(r["header"], []).append(r["f"])
     if not files:
         raise FileNotFoundError(pattern)
-    frames = [spark.read.option("header", True).csv(f) for f in files]
+    frames = [spark.read.option("header", True).csv(same) for same in files.values()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -85,15 +86,19 @@ def head_sample(df: DataFrame, n: int | None, order_cols: list[str] | None = Non
 
 
 def read_evaluation_results(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation JSON (model → {model_name, rmse?, mae?, precision_at_k{K},
-    ...}) back into long (model, metric, k, value) rows."""
+    """Evaluation JSON back into long (model, model_name, metric, k,
+    value) rows: either one object {model, model_name, ...} per line, as A11
+    writes them, or one document keyed by model."""
     schema = (
         "model_name string, rmse double, mae double, coverage double, "
         "precision_at_k map<string,double>, recall_at_k map<string,double>, f1_at_k map<string,double>"
     )
-    text = spark.read.text(path, wholetext=True)
-    models = text.select(F.explode(F.from_json("value", f"map<string, struct<{schema}>>")).alias("model", "r"))
-    return from_results_map(models)
+    whole = F.from_json("value", f"map<string, struct<{schema}>>")
+    keyed = spark.read.text(path, wholetext=True).select(F.explode(whole).alias("model", "r"))
+    line = F.from_json("value", f"model string, {schema}")
+    lines = spark.read.text(path).select(line.alias("r")).where("r.model is not null and r.model_name is not null")
+    rows = lines.select("r.model", F.struct(*[F.col(f"r.{c.split()[0]}") for c in schema.split(", ")]).alias("r"))
+    return from_results_map(keyed.where("r.model_name is not null").unionByName(rows))
 
 
 def from_results_map(models: DataFrame) -> DataFrame:
