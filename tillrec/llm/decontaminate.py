@@ -159,19 +159,20 @@ def find_contamination(
         long = carry or not last
         return map_rows(source, make, ", ".join(map(sql, fields)) + ", " + found, weigh=lambda r: len(r[at] or "") if long else 64)
 
-    blocks, ids, nodes = [[]], [], 0
+    shared, block, ids, nodes = [], [], [], 0
     for r in benchmark.select(col(item_col).cast("string").alias("i"), col(text_col).alias("t")).toLocalIterator():
         words = words_of(r["t"])
         size = len(words) * window
         if nodes and nodes + size > max_nodes:
-            blocks.append([])
-            nodes = 0
-        blocks[-1].append((len(ids), words))
+            shared.append(sc.broadcast(block))
+            block, nodes = [], 0
+        block.append((len(ids), words))
         ids.append(r["i"])
         nodes += size
-    out = scan(base, sc.broadcast(blocks[0]), ids, False, len(blocks) == 1)
-    for k, block in enumerate(blocks[1:], 2):
-        out = scan(reliable(out), sc.broadcast(block), ids, True, k == len(blocks))
+    shared.append(sc.broadcast(block))
+    out = scan(base, shared[0], ids, False, len(shared) == 1)
+    for k, more in enumerate(shared[1:], 2):
+        out = scan(reliable(out), more, ids, True, k == len(shared))
     return out
 
 
