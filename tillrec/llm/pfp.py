@@ -371,6 +371,18 @@ def remove_repeats(
         at = {(int(ids[a]), int(hashes[a])): (a, b) for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(ids)])}
         return start, windows, code, at
 
+    def gathered(blocks):
+        """Text blocks joined to some FLUSH_TEXT bytes."""
+        group, size = [], 0
+        for block in blocks:
+            group.append(unpack(block, table, table, "<i8", "u1"))
+            size += len(group[-1][3])
+            if size >= FLUSH_TEXT:
+                yield [np.concatenate(c) for c in zip(*group)]
+                group, size = [], 0
+        if group:
+            yield [np.concatenate(c) for c in zip(*group)]
+
     def spread(starts, lengths):
         """start, start + 1, ... of each of many ranges, end to end."""
         total = np.cumsum(lengths)
@@ -379,8 +391,7 @@ def remove_repeats(
     def open_phrases(batches):
         for _, held in by_bucket(batches):
             start, windows, code, at = places(held, {0: ()})
-            for block in held.get(9, []):
-                ids, hashes, sizes, data = unpack(block, table, table, "<i8", "u1")
+            for ids, hashes, sizes, data in gathered(held.get(9, [])):
                 base = np.cumsum(sizes) - sizes
                 own, pick = [], []
                 for k, key in enumerate(zip(ids.tolist(), hashes.tolist())):
