@@ -182,15 +182,15 @@ def _home(ids: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _texts(batches):
-    """Lists of (id, text hash, bytes) of some FLUSH_TEXT bytes."""
+def _texts(batches, several: bool):
+    """Lists of (id, text hash or 0, bytes) of some FLUSH_TEXT bytes."""
     import xxhash
 
     out, held = [], 0
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1)):
             data = (t.as_py() or "").encode("utf-8", "surrogatepass")
-            out.append((i, xxhash.xxh64_intdigest(data) >> 1, data))
+            out.append((i, xxhash.xxh64_intdigest(data) >> 1 if several else 0, data))
             held += len(data) + 64
             if held >= FLUSH_TEXT:
                 yield out
@@ -254,7 +254,7 @@ def common_triggers(docs: DataFrame, n: int, span: int, gram: int) -> np.ndarray
     def count(batches):
         import pyarrow as pa
 
-        for texts in _texts(batches):
+        for texts in _texts(batches, False):
             for _, _, _, _, trigger, phrase in _parsed(texts, span, gram):
                 pair = np.unique(np.stack([trigger, phrase], axis=1), axis=0)
                 t, c = np.unique(pair[:, 0], return_counts=True)
@@ -282,11 +282,14 @@ def remove_repeats(
     n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_TEXT), 1)
     known = rows.where("id is not null")
+    # only where one id has several texts do text hashes have to tell its rows apart
+    hashed = known.groupBy("id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    several = bool(hashed.where("a <> b").limit(1).count())
     common = common_triggers(known, n, span, gram)
     table = "<i8"
 
     def ask(batches):
-        for texts in _texts(batches):
+        for texts in _texts(batches, several):
             for ids, hashes, start, windows, trigger, phrase in _parsed(texts, span, gram):
                 seen = ids > _smallest([phrase, trigger], ids)
                 own = np.isin(trigger, common)
@@ -342,7 +345,7 @@ def remove_repeats(
             yield _blocks(out)
 
     def text_blocks(batches):
-        for texts in _texts(batches):
+        for texts in _texts(batches, several):
             ids, hashes = np.array([t[0] for t in texts], np.int64), np.array([t[1] for t in texts], np.int64)
             home = _home(ids, buckets)
             out = []
