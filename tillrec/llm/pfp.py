@@ -356,7 +356,7 @@ def remove_repeats(
             yield _blocks(out)
 
     def ordered(df: DataFrame) -> DataFrame:
-        return df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+        return df.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "kind")
 
     def places(held, kinds: dict[int, tuple]):
         """Records of verdict blocks sorted by (id, hash), and their heads."""
