@@ -21,6 +21,8 @@ DOCS_PER_LANG = 400
 WINDOWS_PER_DOC = 3
 WINDOW_CHARS = 120
 TRAIN_BYTES = 128
+#: Most languages whose counts (some 50 bytes each) are broadcast.
+MAX_LANGS = 10_000
 HIDDEN = 8
 EPOCHS = 7
 #: Windows of the run, and bytes of context that neighbours share.
@@ -45,15 +47,20 @@ def has_letter(text: str | None) -> bool:
 
 def training_windows(labelled: DataFrame) -> list[tuple[str, str]]:
     """(language, window text) of a bounded, hash-chosen sample of each language."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = labelled.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= DOCS_PER_LANG)
     starts = F.transform(
         F.sequence(F.lit(1), F.lit(WINDOWS_PER_DOC)),
         lambda k: F.pmod(F.xxhash64("text", k), F.greatest(F.length("text") - WINDOW_CHARS + 1, F.lit(1))) + 1,
     )
-    rows = sample.withColumn("__start", F.explode(F.array_distinct(starts))).select(
-        "lang", F.substring(F.col("text"), F.col("__start").cast("int"), F.lit(WINDOW_CHARS)).alias("part")
-    )
+    # thin common languages by hash to some four times what is needed, then take the first of each
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
+    counts = counts.select("lang", F.greatest(F.floor(F.col("__n") / (4 * DOCS_PER_LANG)), F.lit(1)).alias("__step"))
+    few = counts.count() <= MAX_LANGS
+    hashed = labelled.withColumn("__h", F.xxhash64("text")).join(F.broadcast(counts) if few else counts, "lang")
+    parts = F.transform(F.array_distinct(starts), lambda a: F.substring(F.col("text"), a.cast("int"), F.lit(WINDOW_CHARS)))
+    thin = hashed.where(F.pmod("__h", "__step") == 0).select("lang", "__h", parts.alias("__parts"))
+    w = Window.partitionBy("lang").orderBy("__h", "__parts")
+    sample = thin.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= DOCS_PER_LANG)
+    rows = sample.select("lang", F.explode("__parts").alias("part"))
     return sorted((r["lang"], r["part"]) for r in rows.collect())
 
 
