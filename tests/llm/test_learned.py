@@ -65,6 +65,15 @@ def test_language_held_out_accuracy(spark):
     assert sorted(map(str, langid.identify_languages(changed).collect())) == sorted(map(str, got.collect()))
 
 
+def test_language_sample_counts_copies_once(spark):
+    few = F.concat(F.lit("kopie "), (F.col("id") % 5).cast("string"))
+    docs = spark.range(20_000).select(F.lit("xx").alias("lang"), few.alias("text"))
+    docs = docs.union(spark.range(4_000).select(F.lit("yy").alias("lang"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")))
+    got = langid.training_windows(docs)
+    assert [t for lang, t in got if lang == "xx"] == [f"kopie {k}" for k in range(5)]
+    assert len({t for lang, t in got if lang == "yy"}) == langid.DOCS_PER_LANG
+
+
 def test_language_awkward(spark):
     got = langid.identify_languages(awkward(spark)).collect()
     assert len(got) == 12 and langid.identify_languages(empty(spark)).count() == 0

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillrec.llm import recurrent as R
-from tillrec.llm.common import col
+from tillrec.llm.common import col, reliable
 
 #: Bound of the training sample: documents of a language, and windows of one document.
 DOCS_PER_LANG = 400
@@ -46,20 +46,23 @@ def has_letter(text: str | None) -> bool:
 
 
 def training_windows(labelled: DataFrame) -> list[tuple[str, str]]:
-    """(language, window text) of a bounded, hash-chosen sample of each language."""
+    """(language, window text) of a bounded, hash-chosen sample of each language's distinct texts."""
     starts = F.transform(
         F.sequence(F.lit(1), F.lit(WINDOWS_PER_DOC)),
         lambda k: F.pmod(F.xxhash64("text", k), F.greatest(F.length("text") - WINDOW_CHARS + 1, F.lit(1))) + 1,
     )
-    # thin common languages by hash to some four times what is needed, then take the first of each
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
-    counts = counts.select("lang", F.greatest(F.floor(F.col("__n") / (4 * DOCS_PER_LANG)), F.lit(1)).alias("__step"))
+    # copies of a text count once; thin common languages by hash to some four
+    # times what is needed, then take the first of each by another hash
+    hashed = labelled.withColumn("__h", F.xxhash64("text"))
+    counts = hashed.select("lang", "__h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
+    counts = reliable(counts.select("lang", F.greatest(F.floor(F.col("__n") / (4 * DOCS_PER_LANG)), F.lit(1)).alias("__step")))
     few = counts.count() <= MAX_LANGS
-    hashed = labelled.withColumn("__h", F.xxhash64("text")).join(F.broadcast(counts) if few else counts, "lang")
+    hashed = hashed.join(F.broadcast(counts) if few else counts, "lang")
     parts = F.transform(F.array_distinct(starts), lambda a: F.substring(F.col("text"), a.cast("int"), F.lit(WINDOW_CHARS)))
-    thin = hashed.where(F.pmod("__h", "__step") == 0).select("lang", "__h", parts.alias("__parts"))
-    w = Window.partitionBy("lang").orderBy("__h", "__parts")
-    sample = thin.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= DOCS_PER_LANG)
+    thin = hashed.where(F.pmod("__h", "__step") == 0).select("lang", "__h", F.xxhash64("text", F.lit(0)).alias("__o"), parts.alias("__parts"))
+    once = thin.groupBy("lang", "__h").agg(F.min(F.struct("__o", "__parts")).alias("__first")).select("lang", "__h", "__first.*")
+    w = Window.partitionBy("lang").orderBy("__o", "__h")
+    sample = once.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= DOCS_PER_LANG)
     rows = sample.select("lang", F.explode("__parts").alias("part"))
     return sorted((r["lang"], r["part"]) for r in rows.collect())
 
