@@ -177,3 +177,20 @@ def test_codes_and_bounds():
     est = norm / (align * 8) * ((np.unpackbits(bits, axis=1) * 2.0 - 1) @ (turn @ q))
     err = norm * np.linalg.norm(q) * np.sqrt(1 - align**2) / align * ann.EPSILON / np.sqrt(63)
     assert (np.abs(est - x @ q) <= err).mean() > 0.93
+
+
+def test_bound_holds_where_near_copies_crowd_the_best_estimates():
+    rng = np.random.default_rng(3)
+    dim, k = 32, 20
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    a = unit(rng.standard_normal(dim))
+    x = np.concatenate([a + 1e-4 * rng.standard_normal((4000, dim)), unit(rng.standard_normal((4000, dim)))])
+    across = rng.standard_normal((400, dim))
+    q = 0.46 * a + 0.89 * unit(across - (across @ a)[:, None] * a)
+    turn, centre, ids = ann.rotation(dim, 42), x.mean(axis=0), np.arange(len(x))
+    bits, norm, align = ann.encode(x, centre, turn)
+    q_norm = np.linalg.norm(q, axis=1)
+    best = ann.Best(len(q), k)
+    ann.search_block(best, -1 - np.arange(len(q)), q, (q / q_norm[:, None] @ turn.T).astype("f4"), q_norm, q / q_norm[:, None] @ centre, ids, x, bits, norm, align, k)
+    hits = sum(len({*np.argsort(-(x @ v), kind="stable")[:k].tolist()} & {*best.i[best.q == n].tolist()}) for n, v in enumerate(q))
+    assert hits >= 0.9995 * k * len(q)

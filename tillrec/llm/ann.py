@@ -19,9 +19,8 @@ from tillrec.llm.common import col, reliable
 QUERY_BLOCK = 16_384
 ROW_BLOCK = 8_192
 QUERY_SUB = 512
-#: Error bounds, in standard deviations of the estimate's error: the value that
-#: the codes' authors found to miss next to nothing.
-EPSILON = 1.9
+#: Error bounds in standard deviations of the estimate's error.
+EPSILON = 4.0
 
 
 def usable(v: Column) -> Column:
