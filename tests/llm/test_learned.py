@@ -151,6 +151,18 @@ def test_skipping_decoding_changes_nothing(monkeypatch):
     assert got.keys() == all_.keys() and all((got[k] == all_[k]).all() for k in got)
 
 
+def test_pii_sample_counts_copies_once(spark, monkeypatch):
+    number = F.when(F.col("id") < 9000, F.col("id") % 3).otherwise(F.col("id"))
+    docs = spark.range(9200).select(F.concat(F.lit("call "), number.cast("string")).alias("text"))
+    monkeypatch.setattr(pii, "SAMPLE_DOCS", 150)  # fewer than rows, and 203 texts: no thinning
+    got = pii.training_windows(docs)
+    assert sorted(got) == sorted(2 * [f"call {k}" for k in [0, 1, 2, *range(9000, 9200)]])
+    monkeypatch.setattr(pii, "SIGN_WINDOWS", 20)
+    monkeypatch.setattr(pii, "PLAIN_WINDOWS", 20)
+    got = pii.training_windows(docs)
+    assert len(got) == 40 and set(got[:20]) != set(got[20:])
+
+
 def test_pii_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(awkward(spark).select(F.col("doc_id") + 5000, "text").toDF("doc_id", "text"))
     extra = [(10_000 + k, f"call ({k}12) 555-1234 or card 12 4111111111111111 now, see 2024") for k in range(1, 9)]

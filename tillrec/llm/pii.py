@@ -30,7 +30,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Bound of the training sample: documents looked at (some two times as many at
+#: Bound of the training sample: distinct texts looked at (some two times as many at
 #: most, by hash), windows at a digit or @ sign, and windows anywhere.
 SAMPLE_DOCS = 300_000
 SIGN_WINDOWS = 2500
@@ -114,15 +114,21 @@ def symbols(text: str) -> np.ndarray:
 
 
 def training_windows(docs: DataFrame) -> list[str]:
-    """A bounded sample of windows, chosen by hash: one at the first digit or @
-    of a document that has one, and one anywhere of any document."""
-    step = max(1, docs.count() // SAMPLE_DOCS)  # so no task or driver sees more than a bounded share
-    text = docs.where(F.length("text") > 0).select("text", F.xxhash64("text").alias("h")).where(F.pmod("h", F.lit(step)) == 0)
+    """A bounded sample of windows of distinct texts, chosen by hash: one at the
+    first digit or @ of a text that has one, and one anywhere of any text."""
+    text = docs.where(F.length("text") > 0).select("text", F.xxhash64("text").alias("h"))
+    step = max(1, text.select("h").distinct().count() // SAMPLE_DOCS)  # so no task or driver sees more than a bounded share
+    text = text.where(F.pmod("h", F.lit(step)) == 0)
     sign = text.withColumn("at", F.regexp_instr(F.col("text"), F.lit("[0-9@]"))).where("at > 0")
     near = sign.select("h", F.substring("text", F.greatest(F.col("at") - 48, F.lit(1)), F.lit(WINDOW_CHARS)).alias("w"))
     start = F.pmod(F.col("h"), F.greatest(F.length("text") - WINDOW_CHARS + 1, F.lit(1))).cast("int") + 1
     any_ = text.select("h", F.substring("text", start, F.lit(WINDOW_CHARS)).alias("w"))
-    rows = [*near.orderBy("h", "w").limit(SIGN_WINDOWS).collect(), *any_.orderBy("h", "w").limit(PLAIN_WINDOWS).collect()]
+
+    def some(windows: DataFrame, seed: int, n: int) -> list:
+        once = windows.groupBy("h").agg(F.min("w").alias("w"))  # copies of a text count once
+        return once.orderBy(F.xxhash64("h", F.lit(seed)), "h").limit(n).collect()
+
+    rows = [*some(near, 1, SIGN_WINDOWS), *some(any_, 2, PLAIN_WINDOWS)]
     return [r["w"] for r in rows]
 
 
