@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillrec.llm.alignment import align_tokenizers
 from tillrec.llm.ann import nearest_by_codes
 from tillrec.llm.common import table
 from tillrec.llm.decontaminate import contamination_digest
+from tillrec.llm.divergence import source_divergence
 from tillrec.llm.langid import identify_languages
+from tillrec.llm.linerules import line_rules_digest
 from tillrec.llm.mixing import mix_sources
 from tillrec.llm.pfp import remove_repeats
 from tillrec.llm.pii import pii_digest
@@ -19,6 +22,7 @@ from tillrec.llm.tokencount import token_digest
 
 #: Vocabulary of the token counts; the file is read where the driver runs.
 VOCABULARY = "byte_bpe_50k.json"
+SECOND_VOCABULARY = "piece_bpe_32k.model"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -77,6 +81,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), vocabulary_path(), limit=1024)
 
 
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over all documents."""
+    return align_tokenizers(table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path(SECOND_VOCABULARY))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every pair of sources of a language, and the words that mark a source."""
+    return source_divergence(table(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
+def op13_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and cross-document line frequency on all documents."""
+    return line_rules_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_nearest_by_codes": op2_nearest_by_codes,
@@ -88,6 +107,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_shard_documents": op9_shard_documents,
     "op10_token_counts": op10_token_counts,
+    "op11_align_tokenizers": op11_align_tokenizers,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_line_rules": op13_line_rules,
 }
 
 #: The weighted-fair-queueing mix with whole-table windows.
@@ -144,4 +166,78 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM low LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
 
-SQL: dict[str, str] = {"op3_mix_sources": OP3_SQL, "op5_decontaminate": OP5_SQL}
+#: Every kept word against every source, zeros included.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+t AS (SELECT lang, source, r, term, count(*) AS n FROM (SELECT lang, source, r, unnest(w) AS term FROM d) x GROUP BY ALL),
+l AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY ALL HAVING count(*) >= 3),
+c AS (SELECT t.lang, t.source, t.term, CAST(sum(t.n) AS BIGINT) AS n FROM t JOIN l USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+lt AS (SELECT lang, sum(n) AS total, count(*) AS v FROM l GROUP BY lang),
+gt AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT gt.lang, gt.source, l.term, coalesce(c.n, 0) AS n,
+         CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (gt.total + lt.v) AS BIGINT) AS p,
+         CAST(1 + (1000000000::HUGEINT * (l.n + 1)) // (lt.total + lt.v) AS BIGINT) AS q
+  FROM gt JOIN lt USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = gt.lang AND c.source = gt.source AND c.term = l.term),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, CAST(sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS BIGINT) AS value
+             FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pair
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+         CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+  FROM ranked) z
+WHERE part = 'pair' OR rank <= 200"""
+
+#: Lines as text instead of hashes; windows as text.
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS raw,
+         list_filter(list_transform(string_split(regexp_replace(regexp_replace(lower(coalesce(text, '')),
+           '[\x20\x09\x0B-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines
+  FROM documents),
+win AS (SELECT r, i, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3) x),
+twice AS (SELECT r, g FROM win GROUP BY ALL HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM win JOIN twice USING (r, g)) x GROUP BY r),
+texts AS (SELECT source, text, any_value(lines) AS lines FROM d GROUP BY ALL),
+hosts AS (SELECT source, greatest(10.0::DOUBLE, count(*) * 0.001::DOUBLE) AS lim FROM texts GROUP BY ALL),
+freq AS (
+  SELECT f.source, f.line FROM (
+    SELECT source, line, count(*) AS n FROM (SELECT source, text, unnest(list_distinct(lines)) AS line FROM texts) x GROUP BY ALL) f
+  JOIN hosts ON f.source IS NOT DISTINCT FROM hosts.source WHERE f.n > hosts.lim),
+gone AS (
+  SELECT r, CAST(sum(len(string_split(x.line, ' '))) AS BIGINT) AS n
+  FROM (SELECT r, source, unnest(lines) AS line FROM d) x
+  JOIN freq ON x.line = freq.line AND x.source IS NOT DISTINCT FROM freq.source GROUP BY r),
+b AS (
+  SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(raw) - len(list_distinct(raw)) AS BIGINT) AS n_dup_lines,
+         coalesce(rep.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN rep USING (r)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_words - coalesce(gone.n, 0) AS n_left
+      FROM b LEFT JOIN gone USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n_left >= 50 AND n_left * 100 >= n_words * 50 AS kept
+FROM v"""
+
+SQL: dict[str, str] = {
+    "op3_mix_sources": OP3_SQL,
+    "op5_decontaminate": OP5_SQL,
+    "op12_source_divergence": OP12_SQL,
+    "op13_line_rules": OP13_SQL,
+}
