@@ -54,7 +54,58 @@ def test_nmf_converges(ratings, dense):
     assert np.abs(grad).max() < 0.05 * np.abs(dense @ h).max()
 
 
-@pytest.mark.parametrize("blocks", [{}, {"user_block": 30, "item_block": 17}])
+def test_svd_of_an_ill_conditioned_matrix(spark):
+    """Singular values over twelve orders of magnitude, and one rank fewer than asked for."""
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    rng = np.random.default_rng(11)
+    q = lambda: np.linalg.qr(rng.standard_normal((200, 7)))[0]
+    s = np.array([1e6, 1e4, 1e2, 1.0, 1e-2, 1e-4, 1e-6])
+    x = q() @ np.diag(s) @ q().T
+    rows = [(int(u), int(i), float(x[u, i])) for u in range(200) for i in range(200)]
+    df = spark.createDataFrame(rows, "client_id bigint, merchant_id bigint, rating double").repartition(7)
+    m = FA.fit_svd(df, k=7, n_oversamples=0, n_iter=2)
+    assert np.allclose(m.sigma[:6], s[:6], rtol=1e-5)
+    v = table(m.items, 7, 200)
+    assert np.allclose(v[:, :6].T @ v[:, :6], np.eye(6), atol=1e-6)
+    ref = RowMatrix(spark.sparkContext.parallelize([Vectors.dense(r) for r in x.tolist()], 4)).computeSVD(3).s
+    assert np.allclose(m.sigma[:3], ref.toArray(), rtol=1e-6)
+
+
+def test_triangle_is_the_same_in_any_partitioning(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 4))
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "key int, f0 double, f1 double, f2 double, f3 double")
+    want = np.linalg.qr(x, mode="r")
+    monkeypatch.setattr(FA, "FAN_IN", 2)
+    for parts in (1, 9):
+        got = FA._triangle(df.repartition(parts), FA.fcols("f", 4))
+        assert np.allclose(np.abs(got), np.abs(want), rtol=1e-10)
+
+
+def test_als_rows_are_stationary(spark):
+    """Every user's factors minimise the observed squared error plus the weighted penalty under f >= 0."""
+    rng = np.random.default_rng(4)
+    w, h = rng.random((40, 3)), rng.random((30, 3))
+    cells = [(u, i) for u in range(40) for i in range(30) if rng.random() < 0.5]
+    rows = [(1000 + u, 7 * i, float(w[u] @ h[i]) + 1) for u, i in cells]
+    df = spark.createDataFrame(rows, "client_id bigint, merchant_id bigint, rating double")
+    reg = 0.02
+    m = FA.fit_als(df, k=3, max_iter=15, reg=reg, blocks=2)
+    f = lambda t: {r["key"]: np.array([r["f0"], r["f1"], r["f2"]]) for r in t.collect()}
+    users, items = f(m.users), f(m.items)
+    assert set(users) == {r[0] for r in rows} and set(items) == {r[1] for r in rows}
+    err = 0.0
+    for u, a in users.items():
+        mine = [(items[i], x) for v, i, x in rows if v == u]
+        g = sum((a @ b - x) * b for b, x in mine) + reg * len(mine) * a
+        assert (a >= 0).all() and (g > -1e-2).all() and np.abs(g * (a > 1e-6)).max() < 1e-2
+        err += sum((a @ b - x) ** 2 for b, x in mine)
+    assert abs(np.sqrt(err) - m.reconstruction_err) < 1e-6 and m.reconstruction_err / np.sqrt(len(rows)) < 0.1
+
+
+@pytest.mark.parametrize("blocks", [{}, {"user_block": 30, "item_block": 17}, {"item_block": 40, "step": 8}])
 def test_top_n_equals_numpy(spark, svd, ratings, dense, blocks):
     score = np.round(table(svd.users, 5, 200) @ table(svd.items, 5, 200).T, 9)
     score[dense != 0] = -np.inf
@@ -71,6 +122,27 @@ def test_top_n_equals_numpy(spark, svd, ratings, dense, blocks):
     assert top.join(ratings, ["client_id", "merchant_id"], "left_semi").count() == 0
 
 
+def test_few_products_are_formed_where_norms_fall(spark):
+    """Falling item norms: most blocks cannot reach the tenth score."""
+    rng = np.random.default_rng(8)
+    h = rng.standard_normal((400, 3)) * (0.97 ** np.arange(400))[:, None]
+    w = rng.standard_normal((50, 3))
+    as_table = lambda x: spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "key bigint, f0 double, f1 double, f2 double")
+    model = FA.FactorModel("svd", 3, as_table(w), as_table(h))
+    users = spark.range(50).select(F.col("id").alias("client_id"))
+    seen = users.withColumn("merchant_id", F.col("client_id") % 20)
+    items = spark.range(400).select(F.col("id").alias("merchant_id"))
+    kw = {"n": 5, "item_block": 50, "step": 10}
+    score = np.round(w @ h.T, 9)
+    score[np.arange(50), np.arange(50) % 20] = -np.inf
+    got = {}
+    for r in FA.recommend_factors(model, seen, items, **kw).orderBy("client_id", "rank").collect():
+        got.setdefault(r["client_id"], []).append(r["merchant_id"])
+    assert got == {u: np.lexsort((np.arange(400), -score[u]))[:5].tolist() for u in range(50)}
+    work = FA.recommend_factors(model, seen, items, scored=True, **kw).toPandas()
+    assert (work.dense == 50 * 400).all() and work.scored.sum() < 0.5 * 50 * 400
+
+
 def test_predictions_and_factor_items(svd, ratings, dense):
     p = FA.predict(svd, ratings.limit(50)).collect()
     full = table(svd.users, 5, 200) @ table(svd.items, 5, 200).T

@@ -37,7 +37,9 @@ def top_n_per_group(
 
 def heavy_keys(df: DataFrame, key: str, limit: int) -> DataFrame:
     """Keys with more than ``limit`` rows and how many parts of that size they
-    make: at most rows / limit keys, so the list may be broadcast."""
+    make: at most rows / limit keys.  The list grows with the rows, so it is
+    joined without a hint: adaptive execution broadcasts it if its measured
+    size allows and splits a hot key of the other side otherwise."""
     return (
         df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
         .select(key, F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_parts"))
@@ -47,7 +49,7 @@ def heavy_keys(df: DataFrame, key: str, limit: int) -> DataFrame:
 def salted_join(left: DataFrame, right: DataFrame, key: str, limit: int = 100_000) -> DataFrame:
     """Inner join on ``key`` in which a key with more than ``limit`` rows on the
     left is cut into parts of that size, each meeting a copy of its right rows."""
-    heavy = F.broadcast(heavy_keys(left, key, limit))
+    heavy = heavy_keys(left, key, limit)
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     a = left.join(heavy, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("_parts")
     b = right.join(heavy, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import f1, fixed4_or_na, hash_key, safe_ratio
+from .similarity import pair_similarity
 
 KS = (5, 10, 20)
 LOWER_IS_BETTER = ("rmse", "mae")
@@ -103,9 +104,31 @@ def coverage(recs: DataFrame, n_items: DataFrame, k: int = 10, item: str = "merc
     )
 
 
+def list_diversity(recs: DataFrame, ix: DataFrame, k: int = 10, user: str = "client_id", item: str = "merchant_id",
+                   value: str = "transaction_count", model_col: str = "model") -> DataFrame:
+    """(model, n_users, diversity).  A list's diversity is the mean of
+    1 − cosine over its pairs of items at ranks up to ``k``; a model's is the
+    mean over its lists of two items or more.
+
+    Only pairs that stand in a list are compared (``pair_similarity`` over
+    the interactions ``ix``).  A pair first adds up what it weighs in all
+    lists of a model, so that the pairs of the most popular items, which are
+    in nearly every list, meet their similarity once."""
+    lists = recs.where(F.col("rank") <= k).groupBy(model_col, user).agg(F.array_sort(F.collect_set(item)).alias("_l"))
+    lists = lists.where(F.size("_l") > 1)  # at most k items each
+    couple = lambda x, i: F.transform(F.slice("_l", i + 2, F.lit(k)), lambda y: F.struct(x.alias("_a"), y.alias("_b")))
+    n_pairs = F.size("_l") * (F.size("_l") - 1) / 2
+    pairs = lists.select(model_col, (1 / n_pairs).alias("_w"), F.explode(F.flatten(F.transform("_l", couple))).alias("_p"))
+    weights = pairs.groupBy(model_col, "_p._a", "_p._b").agg(F.sum("_w").alias("_w"))
+    sims = pair_similarity(weights, ix, "_a", "_b", item, user, value)
+    total = weights.join(sims, ["_a", "_b"]).groupBy(model_col).agg(F.sum(F.col("_w") * (1 - F.col("sim"))).alias("_d"))
+    n = lists.groupBy(model_col).agg(F.count(F.lit(1)).alias("n_users"))
+    return n.join(total, model_col).select(model_col, "n_users", F.round(F.col("_d") / F.col("n_users"), 6).alias("diversity"))
+
+
 def metrics_long(ranking: DataFrame, cov: DataFrame | None = None, errors: DataFrame | None = None,
-                 model_col: str = "model") -> DataFrame:
-    """(model, metric, k, value) from the per-K table, coverage and RMSE/MAE."""
+                 model_col: str = "model", diversity: DataFrame | None = None) -> DataFrame:
+    """(model, metric, k, value) from the per-K table, coverage, RMSE/MAE and diversity."""
     none = F.lit(None).cast("int")
 
     def long(df: DataFrame, names: tuple[str, ...], k) -> DataFrame:
@@ -117,6 +140,8 @@ def metrics_long(ranking: DataFrame, cov: DataFrame | None = None, errors: DataF
         parts.append(long(cov, ("coverage",), none))
     if errors is not None:
         parts.append(long(errors, ("rmse", "mae"), none))
+    if diversity is not None:
+        parts.append(long(diversity, ("diversity",), none))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -1,8 +1,14 @@
 """Cosine similarity and nearest neighbours (survey E1-E4, J3).
 
-sim(a, b) = Σ_x v_ax·v_bx / (‖a‖·‖b‖) over the shared x.  The numerator is a
-self-join of the long table on x followed by a grouped sum; pairs that share
-nothing are never produced, and each pair is emitted once (a < b).
+sim(a, b) = Σ_x v_ax·v_bx / (‖a‖·‖b‖) over the shared x.  Four ways to ask:
+
+* ``cosine_pairs`` — every pair that shares an x: a self-join of the long
+  table on x followed by a grouped sum, each pair once (a < b).
+* ``cosine_pairs`` with ``min_sim`` — only pairs above a threshold: candidates
+  from the prefixes of the vectors, then ``pair_similarity`` of those.
+* ``nearest_neighbors`` — the n best of each key, by cells of two blocks of
+  keys; no pair table is built.
+* ``pair_similarity`` — requested pairs only.
 
 Skew: the cost of the self-join is Σ_x d_x² where d_x is the group size of x.
 A group larger than ``heavy_degree`` is cut into B = ceil(d/heavy_degree)
@@ -15,14 +21,46 @@ aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import heavy_keys, top_n_per_group
+from ..session import reliable
+from .common import heavy_keys, salted_join, top_n_per_group
 
 DEFAULT_HEAVY_DEGREE = 2000
 
 
+def _cells(ix: DataFrame, key: str, other: str, value: str) -> DataFrame:
+    """Non-zero cells (_k, _x, _v)."""
+    return ix.where(F.col(key).isNotNull() & F.col(other).isNotNull() & (F.col(value) != 0)).select(
+        F.col(key).alias("_k"), F.col(other).alias("_x"), F.col(value).cast("double").alias("_v")
+    )
+
+
+def _weighted(base: DataFrame) -> DataFrame:
+    """Cells with the norm ``_n`` and the number of cells ``_d`` of their key."""
+    norms = base.groupBy("_k").agg(F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_n"), F.count(F.lit(1)).alias("_d"))
+    return base.join(norms, "_k")
+
+
+def _meet(w: DataFrame, cols: list[str], heavy_degree: int | None, base: DataFrame | None = None) -> DataFrame:
+    """Rows of ``w`` that share ``_x``, as <col>a and <col>b of ``cols``, keys
+    a < b.  ``base`` (default ``w``) has the same ``_x`` and tells the heavy ones."""
+    side = lambda s: [F.col(c).alias(c + s) for c in cols]
+    if heavy_degree:
+        w = w.join(heavy_keys(w if base is None else base, "_x", heavy_degree), "_x", "left").withColumn("_B", F.coalesce("_parts", F.lit(1)))
+        w = w.withColumn("_c", F.pmod(F.xxhash64("_k"), F.col("_B")))
+        rep = F.explode(F.sequence(F.lit(0), F.col("_B") - 1))
+        left = w.select("_x", *side("a"), F.col("_c").alias("_j1"), rep.alias("_j2"))
+        right = w.select("_x", *side("b"), rep.alias("_j1"), F.col("_c").alias("_j2"))
+        joined = left.join(right, ["_x", "_j1", "_j2"])
+    else:
+        joined = w.select("_x", *side("a")).join(w.select("_x", *side("b")), "_x")
+    return joined.where(F.col("_ka") < F.col("_kb"))
+
+
 def cosine_pairs(
     ix: DataFrame,
     key: str,
@@ -31,34 +69,21 @@ def cosine_pairs(
     heavy_degree: int | None = DEFAULT_HEAVY_DEGREE,
     out_a: str | None = None,
     out_b: str | None = None,
+    min_sim: float = 0.0,
 ) -> DataFrame:
+    """(a, b, sim) of the pairs a < b that share an x; with ``min_sim`` > 0
+    those above it, found without summing the others."""
     out_a = out_a or f"{key}_a"
     out_b = out_b or f"{key}_b"
-    base = ix.where(F.col(key).isNotNull() & F.col(other).isNotNull() & (F.col(value) != 0)).select(
-        F.col(key).alias("_k"), F.col(other).alias("_x"), F.col(value).cast("double").alias("_v")
-    )
-    norms = base.groupBy("_k").agg(F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_n"))
-    w = base.join(norms, "_k")
-    if heavy_degree:
-        heavy = F.broadcast(heavy_keys(base, "_x", heavy_degree))  # at most rows / heavy_degree keys
-        w = w.join(heavy, "_x", "left").withColumn("_B", F.coalesce("_parts", F.lit(1)))
-        w = w.withColumn("_c", F.pmod(F.xxhash64("_k"), F.col("_B")))
-        rep = F.explode(F.sequence(F.lit(0), F.col("_B") - 1))
-        left = w.select(
-            F.col("_x"), F.col("_k").alias("_ka"), F.col("_v").alias("_va"), F.col("_n").alias("_na"),
-            F.col("_c").alias("_j1"), rep.alias("_j2"),
-        )
-        right = w.select(
-            F.col("_x"), F.col("_k").alias("_kb"), F.col("_v").alias("_vb"), F.col("_n").alias("_nb"),
-            rep.alias("_j1"), F.col("_c").alias("_j2"),
-        )
-        joined = left.join(right, ["_x", "_j1", "_j2"])
-    else:
-        left = w.select(F.col("_x"), F.col("_k").alias("_ka"), F.col("_v").alias("_va"), F.col("_n").alias("_na"))
-        right = w.select(F.col("_x"), F.col("_k").alias("_kb"), F.col("_v").alias("_vb"), F.col("_n").alias("_nb"))
-        joined = left.join(right, "_x")
+    base = _cells(ix, key, other, value)
+    w = _weighted(base)
+    if min_sim > 0:
+        w = reliable(w)
+        asked = prefix_candidates(w, min_sim, heavy_degree)
+        pairs = _probe(asked, w)
+        return pairs.where(F.col("sim") > min_sim).select(F.col("_ka").alias(out_a), F.col("_kb").alias(out_b), "sim")
     pairs = (
-        joined.where(F.col("_ka") < F.col("_kb"))
+        _meet(w, ["_k", "_v", "_n"], heavy_degree, base)
         .groupBy("_ka", "_kb", "_na", "_nb")
         .agg(F.sum(F.col("_va") * F.col("_vb")).alias("_dot"))
     )
@@ -72,13 +97,103 @@ def cosine_pairs(
 def user_similarity(ix: DataFrame, value: str = "transaction_count", heavy_degree: int | None = DEFAULT_HEAVY_DEGREE,
                     user: str = "client_id", item: str = "merchant_id", min_sim: float = 0.0) -> DataFrame:
     """(user_a, user_b, sim), user_a < user_b, sim > ``min_sim`` only."""
-    return cosine_pairs(ix, user, item, value, heavy_degree, "user_a", "user_b").where(F.col("sim") > min_sim)
+    return cosine_pairs(ix, user, item, value, heavy_degree, "user_a", "user_b", min_sim).where(F.col("sim") > min_sim)
 
 
 def item_similarity(ix: DataFrame, value: str = "transaction_count", heavy_degree: int | None = DEFAULT_HEAVY_DEGREE,
                     user: str = "client_id", item: str = "merchant_id", min_sim: float = 0.0) -> DataFrame:
     """(item_a, item_b, sim > ``min_sim``) on the transpose."""
-    return cosine_pairs(ix, item, user, value, heavy_degree, "item_a", "item_b").where(F.col("sim") > min_sim)
+    return cosine_pairs(ix, item, user, value, heavy_degree, "item_a", "item_b", min_sim).where(F.col("sim") > min_sim)
+
+
+# ---- requested pairs and pairs above a threshold ---------------------------
+
+PROBE_ROWS = 100_000
+
+
+def _probe(asked: DataFrame, w: DataFrame, chunk_rows: int = PROBE_ROWS) -> DataFrame:
+    """(_ka, _kb, sim) of the distinct pairs ``asked`` (_ka, _kb) over the
+    cells ``w``.  Only the shorter vector of a pair is laid out, in chunks of
+    about ``chunk_rows`` cells, and meets the longer one cell by cell."""
+    sizes = w.select("_k", "_n", "_d").distinct()
+    side = lambda s: sizes.select(F.col("_k").alias("_k" + s), F.col("_n").alias("_n" + s), F.col("_d").alias("_d" + s))
+    sized = asked.join(side("a"), "_ka").join(side("b"), "_kb")
+    a_first = F.col("_da") <= F.col("_db")
+    pick = lambda x, y, name: F.when(a_first, F.col(x)).otherwise(F.col(y)).alias(name)
+    chunks = lambda d: F.ceil(F.col(d) / chunk_rows).cast("int")
+    short = sized.select(
+        "_ka", "_kb", "_na", "_nb", pick("_ka", "_kb", "_s"), pick("_kb", "_ka", "_l"),
+        F.explode(F.sequence(F.lit(0), F.ceil(F.least("_da", "_db") / chunk_rows).cast("int") - 1)).alias("_c"),
+    )
+    cells = w.select(F.col("_k").alias("_s"), "_x", F.col("_v").alias("_vs"), F.pmod(F.xxhash64("_x"), chunks("_d")).cast("int").alias("_c"))
+    longer = w.select(F.col("_k").alias("_l"), "_x", F.col("_v").alias("_vl"))
+    dots = (
+        short.join(cells, ["_s", "_c"]).join(longer, ["_l", "_x"])
+        .groupBy("_ka", "_kb", "_na", "_nb").agg(F.sum(F.col("_vs") * F.col("_vl")).alias("_dot"))
+    )
+    return dots.select("_ka", "_kb", (F.col("_dot") / (F.col("_na") * F.col("_nb"))).alias("sim"))
+
+
+def pair_similarity(
+    pairs: DataFrame, ix: DataFrame, a: str, b: str, key: str = "merchant_id", other: str = "client_id",
+    value: str = "transaction_count", chunk_rows: int = PROBE_ROWS,
+) -> DataFrame:
+    """Distinct (a, b) of ``pairs`` with their cosine ``sim``: 0 where they
+    share nothing or are unknown.  No pair beyond those asked for is formed."""
+    w = reliable(_weighted(_cells(ix, key, other, value)))
+    asked = pairs.select(F.col(a).alias("_ka"), F.col(b).alias("_kb")).distinct()
+    found = _probe(asked, w, chunk_rows)
+    return asked.join(found, ["_ka", "_kb"], "left").select(
+        F.col("_ka").alias(a), F.col("_kb").alias(b), F.coalesce("sim", F.lit(0.0)).alias("sim")
+    )
+
+
+def prefix_candidates(w: DataFrame, min_sim: float, heavy_degree: int | None = DEFAULT_HEAVY_DEGREE) -> DataFrame:
+    """Pairs (_ka, _kb) that may have a cosine of ``min_sim`` or more, all of
+    those that do among them.
+
+    The x stand in one order, rare before frequent, in levels of like
+    frequency.  Let l be the first level at which two vectors share an x: all
+    they share lies from l on, so their cosine is at most ‖a from l‖·‖b from
+    l‖ (unit vectors).  So only cells whose vector still has a norm of
+    ``min_sim`` from their level on are joined (the prefix), and a row goes on
+    only if the product of both norms reaches it.  Levels are summed per key,
+    so a key with very many cells is no window of its own."""
+    t = min_sim * (1 - 1e-9)
+    often = w.groupBy("_x").agg(F.floor(F.log2(F.count(F.lit(1))) * 4).cast("int").alias("_level"))
+    unit = w.join(often, "_x").withColumn("_u", F.col("_v") / F.col("_n"))
+    from_here = Window.partitionBy("_k").orderBy(F.col("_level").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    levels = unit.groupBy("_k", "_level").agg(F.sum(F.col("_u") * F.col("_u")).alias("_q"))
+    rest = levels.select("_k", "_level", F.sqrt(F.sum("_q").over(from_here)).alias("_r")).where(F.col("_r") >= t)
+    prefix = unit.join(rest, ["_k", "_level"]).select("_k", "_x", "_r")
+    met = _meet(prefix, ["_k", "_r"], heavy_degree).where(F.col("_ra") * F.col("_rb") >= t)
+    return met.select("_ka", "_kb").distinct()
+
+
+def approximate_item_pairs(
+    ix: DataFrame, threshold: float, value: str = "transaction_count", user: str = "client_id", item: str = "merchant_id",
+    oversample: float = 10.0, heavy_degree: int | None = DEFAULT_HEAVY_DEGREE,
+) -> DataFrame:
+    """E2, opt-in: item pairs with an estimate of their cosine by
+    dimension-independent sampling.  With γ = ``oversample``·ln(items) /
+    threshold, a cell of an item of norm ‖a‖ is kept with probability
+    min(1, √γ/‖a‖) (by a hash, so reruns agree) and weighs v / min(√γ, ‖a‖);
+    the sum of products of kept cells is an unbiased estimate.  The work per
+    item is at most about γ whatever its number of users.  Pairs whose cosine
+    is at least ``threshold`` are estimated within a relative error that
+    falls with √``oversample``; smaller ones are noisier.  Items with
+    ‖a‖² ≤ γ lose nothing, so small tables give exact values."""
+    w = reliable(_weighted(_cells(ix, item, user, value)))
+    n_items = w.select("_k").distinct().count()
+    root = F.lit(float(np.sqrt(oversample * np.log(max(2, n_items)) / threshold)))
+    chance = F.least(F.lit(1.0), root / F.col("_n"))
+    draw = (F.pmod(F.xxhash64("_k", "_x"), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
+    kept = w.where(draw < chance).select("_k", "_x", (F.col("_v") / F.least(root, F.col("_n"))).alias("_v"))
+    sums = _meet(kept, ["_k", "_v"], heavy_degree).groupBy("_ka", "_kb").agg(F.sum(F.col("_va") * F.col("_vb")).alias("sim"))
+    return sums.select(F.col("_ka").alias("item_a"), F.col("_kb").alias("item_b"), F.least(F.lit(1.0), "sim").alias("sim"))
+
+
+# ---- the n nearest of each key ----------------------------------------------
 
 
 def mirror(pairs: DataFrame, a: str, b: str, key: str = "id", other: str = "neighbor") -> DataFrame:
@@ -91,9 +206,138 @@ def mirror(pairs: DataFrame, a: str, b: str, key: str = "id", other: str = "neig
     return pairs.select(F.explode(both).alias("_p")).select("_p.*")
 
 
+def _best(sims: DataFrame, key: str, other: str, n: int, digits: int) -> DataFrame:
+    m = sims.withColumn("_s", F.round("sim", digits))
+    return top_n_per_group(m, [key], [F.col("_s").desc(), F.col(other).asc()], n).drop("_s")
+
+
 def nearest(pairs: DataFrame, a: str, b: str, n: int = 10, key: str = "id", other: str = "neighbor",
             digits: int = 9) -> DataFrame:
-    """The n most similar others of each key by (sim desc, id asc);
-    self is excluded by construction (pairs never contain a = b)."""
-    m = mirror(pairs, a, b, key, other).withColumn("_s", F.round("sim", digits))
-    return top_n_per_group(m, [key], [F.col("_s").desc(), F.col(other).asc()], n).drop("_s")
+    """E3/E4 from a table of pairs: the n most similar others of each key by
+    (sim desc, id asc); self is excluded by construction (no pair has a = b)."""
+    return _best(mirror(pairs, a, b, key, other), key, other, n, digits)
+
+
+# Cells of one block of keys; a task holds two blocks (some 50 bytes a cell)
+# and this many products at a time.
+BLOCK_CELLS = 250_000
+PRODUCTS = 2_000_000
+
+
+def nearest_neighbors(
+    ix: DataFrame, key: str = "client_id", other: str = "merchant_id", value: str = "transaction_count", n: int = 10,
+    wanted: DataFrame | None = None, out_key: str = "id", out_other: str = "neighbor", digits: int = 9,
+    block_cells: int = BLOCK_CELLS,
+) -> DataFrame:
+    """(key, neighbor, sim, rank), the n others of each key with the
+    largest cosine above 0, by (sim rounded to ``digits`` desc, id asc), for
+    all keys or those of ``wanted`` (a table with the column ``key``).
+
+    Keys are cut into blocks of about ``block_cells`` cells.  A cell of two
+    blocks holds the rows of either whose x the other has too, so its sums are
+    complete; it keeps n per key, and only those lists are shuffled and
+    merged.  A row travels to as many cells as there are blocks with its x,
+    never to all.  A key with more than ``block_cells`` cells (there are at
+    most rows / ``block_cells``) would overfill a block: its pairs are summed
+    by a join instead."""
+    w = _weighted(_cells(ix, key, other, value))
+    if wanted is not None:
+        w = w.join(wanted.select(F.col(key).alias("_k")).distinct().withColumn("_q", F.lit(True)), "_k", "left")
+        w = w.withColumn("_q", F.coalesce("_q", F.lit(False)))
+    else:
+        w = w.withColumn("_q", F.lit(True))
+    w = reliable(w)
+    rows, largest = w.agg(F.count(F.lit(1)), F.max("_d")).first()
+    cores = ix.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-rows // block_cells), int(np.ceil(np.sqrt(8 * cores))))
+    light = w.where(F.col("_d") <= block_cells).withColumn("_b", F.pmod(F.xxhash64("_k"), F.lit(blocks)).cast("int"))
+    at = light.select("_x", F.col("_b").alias("_o")).distinct()
+    cells = salted_join(light, at, "_x").withColumn("_lo", F.least("_b", "_o")).withColumn("_hi", F.greatest("_b", "_o"))
+    kind = dict(w.dtypes)["_k"]
+    schema = f"`{out_key}` {kind}, `{out_other}` {kind}, sim double"
+
+    def cell(rows: pd.DataFrame) -> pd.DataFrame:
+        return _nearest_cell(rows, n, digits, (out_key, out_other))
+
+    lists = cells.select("_lo", "_hi", "_b", "_k", "_x", "_v", "_n", "_q").groupBy("_lo", "_hi").applyInPandas(cell, schema)
+    if largest is not None and largest > block_cells:
+        lists = lists.unionByName(_heavy_pairs(w, block_cells, out_key, out_other))
+    return _best(lists, out_key, out_other, n, digits)
+
+
+def _heavy_pairs(w: DataFrame, block_cells: int, key: str, other: str) -> DataFrame:
+    """Both directions of the pairs with a key of more than ``block_cells`` cells."""
+    heavy = w.where(F.col("_d") > block_cells).select(
+        "_x", F.col("_k").alias("_kh"), F.col("_v").alias("_vh"), F.col("_n").alias("_nh"), F.col("_q").alias("_qh"))
+    once = (F.col("_d") <= block_cells) | (F.col("_k") < F.col("_kh"))
+    sums = (
+        salted_join(w, heavy, "_x").where(once & (F.col("_k") != F.col("_kh")))
+        .groupBy("_k", "_kh", "_n", "_nh", "_q", "_qh").agg(F.sum(F.col("_v") * F.col("_vh")).alias("_dot"))
+        .where(F.col("_dot") > 0)
+        .withColumn("sim", F.col("_dot") / (F.col("_n") * F.col("_nh")))
+    )
+    way = lambda q, a, b: F.struct(F.col(q).alias("q"), F.col(a).alias(key), F.col(b).alias(other), F.col("sim"))
+    both = sums.select(F.explode(F.array(way("_q", "_k", "_kh"), way("_qh", "_kh", "_k"))).alias("_p")).select("_p.*")
+    return both.where("q").drop("q")
+
+
+def _nearest_cell(rows: pd.DataFrame, n: int, digits: int, names: tuple[str, str]) -> pd.DataFrame:
+    keys, k = np.unique(rows["_k"].to_numpy(), return_inverse=True)
+    _, x = np.unique(rows["_x"].to_numpy(), return_inverse=True)
+    v, q = rows["_v"].to_numpy(), rows["_q"].to_numpy()
+    norm = np.empty(len(keys))
+    norm[k] = rows["_n"].to_numpy()
+    low = rows["_b"].to_numpy() == rows["_lo"].iloc[0]
+    sides = [(low, low)] if rows["_lo"].iloc[0] == rows["_hi"].iloc[0] else [(low, ~low), (~low, low)]
+    found = [part for a, b in sides for part in _cell_side(k, x, v, norm, np.flatnonzero(a & q), np.flatnonzero(b), n, digits)]
+    if not found:
+        return pd.DataFrame({names[0]: keys[:0], names[1]: keys[:0], "sim": np.empty(0)})
+    a, b, sim = (np.concatenate(c) for c in zip(*found))
+    return pd.DataFrame({names[0]: keys[a], names[1]: keys[b], "sim": sim})
+
+
+def _cell_side(k, x, v, norm, asked, held, n: int, digits: int):
+    """The n best of each asked key among the held rows: (key, other, sim) codes."""
+    held = held[np.argsort(x[held], kind="stable")]
+    asked = asked[np.argsort(k[asked], kind="stable")]
+    first, last = np.searchsorted(x[held], x[asked], "left"), np.searchsorted(x[held], x[asked], "right")
+    asked, first, last = asked[last > first], first[last > first], last[last > first]
+    if not len(asked):
+        return
+    width = int(k[held].max()) + 1
+    ends = np.append(np.flatnonzero(np.diff(k[asked])) + 1, len(asked))  # of each key's rows
+    work = np.cumsum(last - first)
+    start = 0
+    while start < len(asked):
+        done = work[start - 1] if start else 0
+        stop = int(ends[max(np.searchsorted(work[ends - 1], done + PRODUCTS, "right") - 1, np.searchsorted(ends, start, "right"))])
+        total = None
+        for lo in _steps(work, start, stop, done):  # a single key may need several
+            some, a, z = asked[lo], first[lo], last[lo]
+            size = z - a
+            at = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            code = np.repeat(k[some].astype(np.int64) * width, size) + k[held[at]]
+            codes, inverse = np.unique(code, return_inverse=True)
+            sums = np.bincount(inverse, np.repeat(v[some], size) * v[held[at]], len(codes))
+            if total is None:
+                total = codes, sums
+            else:
+                codes, inverse = np.unique(np.concatenate([total[0], codes]), return_inverse=True)
+                total = codes, np.bincount(inverse, np.concatenate([total[1], sums]), len(codes))
+        a, b = np.divmod(total[0], width)
+        good = (a != b) & (total[1] > 0)
+        a, b, dot = a[good], b[good], total[1][good]
+        sim = dot / (norm[a] * norm[b])
+        order = np.lexsort((b, -np.round(sim, digits), a))
+        a, b, sim = a[order], b[order], sim[order]
+        keep = np.arange(len(a)) - np.searchsorted(a, a, "left") < n
+        yield a[keep], b[keep], sim[keep]
+        start = stop
+
+
+def _steps(work, start: int, stop: int, done: int):
+    """Row ranges of about PRODUCTS products each."""
+    while start < stop:
+        end = min(stop, max(start + 1, int(np.searchsorted(work, done + PRODUCTS, "right"))))
+        yield slice(start, end)
+        start, done = end, work[end - 1]

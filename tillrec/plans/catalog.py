@@ -297,12 +297,12 @@ def d15d(spark, sf):
     return AN.histogram(spark, users, "income", 30)
 
 
-@q("d15_credit_limit_histogram", _hist_sql("SELECT CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS x FROM customer", 20))
+@q("d15_credit_limit_histogram", _hist_sql("SELECT CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS x FROM customer", 30))
 def d15e(spark, sf):
     from ..functions.scalar import parse_money
 
     cards = A.retail_cards(spark, sf).select(parse_money("credit_limit").alias("credit_limit"))
-    return AN.histogram(spark, cards, "credit_limit", 20)
+    return AN.histogram(spark, cards, "credit_limit", 30)
 
 
 _INCOME_ACTIVITY = """pairs AS (
@@ -514,17 +514,36 @@ def e02(spark, sf):
     return s.select("item_a", "item_b", r6("sim"))
 
 
+@q("e01_user_similarity_above", W(IXB + O.cosine_ctes("us", "ix", "client_id", "merchant_id"),
+                                   "SELECT a AS user_a, b AS user_b, round(sim, 6) AS sim FROM us WHERE sim > 0.25"))
+def e01b(spark, sf):
+    """Pairs above a cosine of 0.25, by prefixes."""
+    return SI.user_similarity(base.cf(spark, sf), min_sim=0.25).select("user_a", "user_b", r6("sim"))
+
+
+@q("e02_item_similarity_above", W(IXB + O.cosine_ctes("isim", "ix", "merchant_id", "client_id"),
+                                   "SELECT a AS item_a, b AS item_b, round(sim, 6) AS sim FROM isim WHERE sim > 0.25"))
+def e02b(spark, sf):
+    return SI.item_similarity(base.cf(spark, sf), min_sim=0.25).select("item_a", "item_b", r6("sim"))
+
+
+@q("e02_item_similarity_sampled")
+def e02c(spark, sf):
+    """The opt-in estimate by dimension-independent sampling, for cosines from 0.1."""
+    return SI.approximate_item_pairs(base.cf(spark, sf), 0.1).select("item_a", "item_b", r6("sim"))
+
+
 @q("e03_nearest_users", W(IXB + O.cosine_ctes("us", "ix", "client_id", "merchant_id") + [O.nearest_cte("nb", "us", 10)],
                            "SELECT id AS client_id, neighbor AS neighbor_id, round(sim, 6) AS sim, CAST(rank AS INTEGER) AS rank FROM nb"))
 def e03(spark, sf):
-    nb = SI.nearest(SI.user_similarity(base.cf(spark, sf)), "user_a", "user_b", 10)
+    nb = SI.nearest_neighbors(base.cf(spark, sf), n=10)
     return nb.select(F.col("id").alias("client_id"), F.col("neighbor").alias("neighbor_id"), r6("sim"), "rank")
 
 
 @q("e04_nearest_items", W(IXB + O.cosine_ctes("isim", "ix", "merchant_id", "client_id") + [O.nearest_cte("nb", "isim", 10)],
                            "SELECT id AS merchant_id, neighbor AS neighbor_id, round(sim, 6) AS sim, CAST(rank AS INTEGER) AS rank FROM nb"))
 def e04(spark, sf):
-    nb = SI.nearest(SI.item_similarity(base.cf(spark, sf)), "item_a", "item_b", 10)
+    nb = SI.nearest_neighbors(base.cf(spark, sf), "merchant_id", "client_id", n=10)
     return nb.select(F.col("id").alias("merchant_id"), F.col("neighbor").alias("neighbor_id"), r6("sim"), "rank")
 
 
@@ -619,6 +638,17 @@ def g09(spark, sf):
     return EV.metric_series(EVP.cf_metrics(run)[2], "recall", run.models)
 
 
+@q("g10_diversity", W(_EVAL, """SELECT model, count(*) AS n_users, round(avg(d), 6) AS diversity FROM (
+  SELECT x.model, x.client_id, avg(1.0 - coalesce(s.sim, 0.0)) AS d
+  FROM recs x JOIN recs y ON x.model = y.model AND x.client_id = y.client_id AND x.merchant_id < y.merchant_id
+  LEFT JOIN ib_is s ON s.a = x.merchant_id AND s.b = y.merchant_id
+  WHERE x.rank <= 10 AND y.rank <= 10 GROUP BY x.model, x.client_id) l GROUP BY model"""))
+def g10(spark, sf):
+    """How unlike each other the items of a list are, by the training interactions."""
+    run = EVP.cf_run(base.cf(spark, sf))
+    return EV.list_diversity(run.recs, run.train)
+
+
 _SELF = IXB + O.holdout_ctes(divisor=2, min_items=2, salt="selfeval") + O.cf_recs_ctes(("user_based",), 10) + O.ranking_ctes((10,))
 
 
@@ -635,50 +665,44 @@ def g11(spark, sf):
 
 from ..operators import factors as FA  # noqa: E402
 
-# The fitted runs of the last table folder, as checkpointed tables: the ten
-# queries below describe one and the same fit.
-_MF_CACHE: dict = {}
-
-
-def _once(spark, sf, name, make):
-    key = (spark.sparkContext.applicationId, sf)
-    if _MF_CACHE.get("key") != key:
-        _MF_CACHE.clear()
-        _MF_CACHE["key"] = key
-    if name not in _MF_CACHE:
-        _MF_CACHE[name] = make()
-    return _MF_CACHE[name]
-
-
 def _ratings(spark, sf):
-    return _once(spark, sf, "ratings", lambda: reliable(IN.ratings(base.tx_plain(spark, sf))))
+    return reliable(IN.ratings(base.tx_plain(spark, sf)))
 
 
-def _mf(spark, sf, k: int = 20):
-    """The SVD + NMF evaluation run."""
-    return _once(spark, sf, "run", lambda: EVP.mf_run(_ratings(spark, sf), k=k))
+def _mf(spark, sf, models=("svd", "nmf"), k: int = 20):
+    """The evaluation run of the named models, fitted anew for each query."""
+    return EVP.mf_run(_ratings(spark, sf), k=k, models=models)
 
 
 @q("f06_svd_singular_values")
 def f06(spark, sf):
-    m = _mf(spark, sf).models["svd"]
+    m = _mf(spark, sf, ("svd",)).models["svd"]
     rows = [(j, float(s)) for j, s in enumerate(m.sigma)]
     return spark.createDataFrame(rows, "factor int, singular_value double")
 
 
 @q("f07_explained_variance")
 def f07(spark, sf):
-    m = _mf(spark, sf).models["svd"]
+    m = _mf(spark, sf, ("svd",)).models["svd"]
     return spark.createDataFrame([(m.k, float(m.explained_variance_ratio))], "k int, explained_variance_ratio double")
 
 
 @q("f08_nmf_fit")
 def f08(spark, sf):
-    m = _mf(spark, sf).models["nmf"]
+    m = _mf(spark, sf, ("nmf",)).models["nmf"]
     rows = [(m.k, m.n_iter, m.converged, float(m.reconstruction_err))]
     return spark.createDataFrame(rows, "k int, iterations int, converged boolean, reconstruction_err double")
 
 
+@q("f08_als_fit")
+def f08b(spark, sf):
+    """Block ALS over the observed cells, and its error on the shared holdout."""
+    run = _mf(spark, sf, ("als",))
+    m = run.models["als"]
+    fit = F.struct(F.lit(m.k).alias("k"), F.lit(m.n_iter).alias("iterations"), F.lit(round(m.reconstruction_err, 6)).alias("reconstruction_err"))
+    return EVP.mf_errors(run).select("model", fit.alias("fit"), r6("rmse"), r6("mae"), "n").select("model", "fit.*", "rmse", "mae", "n")
+
+
 @q("f10_predictions")
 def f10(spark, sf):
     return _mf(spark, sf).test_pred.select("model", "client_id", "merchant_id", r6("rating"), r6("prediction"))
@@ -703,12 +727,21 @@ def d31(spark, sf):
 def f12(spark, sf):
     """Ten unrated places for every user, from a fit of all ratings."""
     r = _ratings(spark, sf)
-    model = _once(spark, sf, "svd_all", lambda: FA.fit_svd(r, k=20))
+    model = FA.fit_svd(r, k=20)
     info = merchant_info(base.tx(spark, sf))
     top = FA.recommend_factors(model, r.select("client_id", "merchant_id"), r.select("merchant_id"), n=10, info=info)
     return top.select("client_id", "rank", "merchant_id", r6("score"), "merchant_city", "merchant_state", "mcc_description")
 
 
+@q("f12_products_formed")
+def f12b(spark, sf):
+    """The share of the full product that the search for the ten best forms."""
+    r = _ratings(spark, sf)
+    work = FA.recommend_factors(
+        FA.fit_svd(r, k=20), r.select("client_id", "merchant_id"), r.select("merchant_id"), n=10, item_block=2_000, scored=True)
+    return work.withColumn("share", F.round(F.col("scored") / F.col("dense"), 6))
+
+
 @q("f13_factor_top_items")
 def f13(spark, sf):
     run = _mf(spark, sf)

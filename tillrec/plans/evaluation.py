@@ -29,6 +29,7 @@ class EvalRun:
     users: DataFrame  # (client_id, n_relevant)
     n_items: DataFrame  # one row (n_items)
     models: list[str]
+    train: DataFrame  # interactions outside the holdout
 
 
 def cf_run(ix: DataFrame, n: int = max(EV.KS), divisor: int = 3, min_items: int = 3, models=CF_MODELS,
@@ -47,7 +48,7 @@ def cf_run(ix: DataFrame, n: int = max(EV.KS), divisor: int = 3, min_items: int
     # the short lists are written once; every metric reads them from there
     recs = reliable(recs)
     n_items = ix.agg(F.countDistinct("merchant_id").alias("n_items"))
-    return EvalRun(recs, relevant, users, n_items, list(models))
+    return EvalRun(recs, relevant, users, n_items, list(models), train)
 
 
 def cf_metrics(run: EvalRun, ks=EV.KS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -78,6 +79,8 @@ def mf_run(ratings: DataFrame, k: int = 20, n: int = max(EV.KS), nmf_iter: int =
         fitted["svd"] = FA.fit_svd(train, k=k, n_users=size["u"], seed=seed)
     if "nmf" in models:
         fitted["nmf"] = FA.fit_nmf(train, k=k, max_iter=nmf_iter, n_users=size["u"], n_items=size["i"], seed=seed)
+    if "als" in models:
+        fitted["als"] = FA.fit_als(train, k=k, seed=seed)
     preds = [FA.predict(m, test).withColumn("model", F.lit(name)) for name, m in fitted.items()]
     test_pred = reduce(lambda a, b: a.unionByName(b), preds)
     users = test.groupBy("client_id").agg(F.count(F.lit(1)).alias("n_relevant"))
@@ -91,7 +94,7 @@ def mf_run(ratings: DataFrame, k: int = 20, n: int = max(EV.KS), nmf_iter: int =
         ],
     ).select("model", "client_id", "rank", "merchant_id", "score")
     n_items = split.agg(F.countDistinct("merchant_id").alias("n_items"))
-    return MFRun(fitted, test_pred, EvalRun(reliable(recs), test, users, n_items, list(fitted)))
+    return MFRun(fitted, test_pred, EvalRun(reliable(recs), test, users, n_items, list(fitted), train))
 
 
 def mf_errors(run: MFRun) -> DataFrame:
