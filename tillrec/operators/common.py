@@ -83,29 +83,63 @@ def ordered_rank(
     return ranged.withColumn(rank_col, (F.col("_before") + pos).cast("bigint")).drop("_p", "_before")
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    """(column_name, prob, value): interpolated quantiles of each column's
-    non-null numbers.  Values are counted, range-partitioned by (column,
-    value) and summed up by partition; the rows that hold the two order
-    statistics of a quantile give it."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("_x")) for c in columns])
-    long = df.select(F.explode(cells).alias("_c")).select("_c.*").where(F.col("_x").isNotNull())
-    freq = long.groupBy("column_name", "_x").agg(F.count(F.lit(1)).alias("_k"))
-    order = [F.col("column_name").asc(), F.col("_x").asc()]
-    ranged = _ranged(freq, order, F.col("_k"))
-    w = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranged.withColumn("_end", F.col("_before") + F.sum("_k").over(w))
-    sizes = ranged.groupBy("column_name").agg(F.sum("_k").alias("_n"))
-    wc = Window.orderBy("column_name").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(wc), F.lit(0)))
-    asked = sizes.withColumn("prob", F.explode(F.array(*[F.lit(float(q)) for q in probs])))
-    at = (F.col("_n") - 1) * F.col("prob")
-    asked = asked.select(
-        "column_name", "prob", (at - F.floor(at)).alias("_part"),
-        (F.col("_first") + F.floor(at)).alias("_lo"), (F.col("_first") + F.ceil(at)).alias("_hi"),
-    )  # columns x probs rows
-    holds = lambda c: (F.col(c) >= F.col("_end") - F.col("_k")) & (F.col(c) < F.col("_end"))
-    got = placed.join(F.broadcast(asked), "column_name").where(holds("_lo") | holds("_hi"))
-    value = lambda c: F.max(F.when(holds(c), F.col("_x")))
-    ends = got.groupBy("column_name", "prob", "_part").agg(value("_lo").alias("_a"), value("_hi").alias("_b"))
-    return ends.select("column_name", "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).alias("value"))
+HISTOGRAM_BINS = 1024
+
+
+def _order_statistics(numbers: DataFrame, asked: dict[str, set[int]], bins: int) -> dict[tuple[str, int], float]:
+    """The values at 0-based ranks ``asked`` of each (double) column's numbers,
+    by selection: every scan counts, for all columns at once, the values of
+    each open range in ``bins`` equal parts; a rank goes on into the part
+    that holds it, from the smallest to the largest value met there, until
+    these are one value.  The ends of a range never share a part, so each
+    scan narrows it.  Only parts that hold something, with their count and
+    ends, come to the driver: at most ``bins`` for a range."""
+    x = lambda c: F.col(f"`{c}`")
+    ends = numbers.agg(*[f(x(c)) for c in asked for f in (F.min, F.max)]).first()
+    found: dict[tuple[str, int], float] = {}
+    todo = {(c, r): (float(ends[2 * k]), float(ends[2 * k + 1]), 0) for k, c in enumerate(asked) for r in asked[c]}
+    while todo:
+        found |= {key: lo for key, (lo, hi, _) in todo.items() if lo == hi}
+        todo = {key: t for key, t in todo.items() if key not in found}
+        if not todo:
+            break
+        ranges = sorted({(c, lo, hi) for (c, _), (lo, hi, _) in todo.items()})
+        cells = []
+        for k, (c, lo, hi) in enumerate(ranges):
+            part = F.floor((x(c) / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2) * F.lit(float(bins)))
+            part = F.when(x(c) == F.lit(hi), F.lit(bins - 1)).otherwise(F.least(part, F.lit(bins - 1 if bins == 1 else bins - 2)))
+            cells.append(F.when((x(c) >= F.lit(lo)) & (x(c) <= F.lit(hi)), F.struct(F.lit(k).alias("k"), part.cast("int").alias("part"), x(c).alias("x"))))
+        hist = numbers.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*")
+        hist = hist.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        parts: dict[int, list] = {}
+        for r in sorted(hist.collect(), key=lambda r: (r["k"], r["part"])):
+            parts.setdefault(r["k"], []).append(r)
+        at = {key: k for k, key in enumerate(ranges)}
+        for (c, rank), (lo, hi, before) in list(todo.items()):
+            for r in parts[at[c, lo, hi]]:
+                if rank < before + r["n"]:
+                    todo[c, rank] = (r["lo"], r["hi"], before)
+                    break
+                before += r["n"]
+    return found
+
+
+def exact_quantiles(numbers: DataFrame, probs: list[float], bins: int = HISTOGRAM_BINS) -> DataFrame:
+    """(column_name, prob, value): interpolated quantiles of the numbers of
+    each (double) column of ``numbers``; null and NaN are no numbers, and a
+    column without any has no rows.  No value is sorted or shuffled: see
+    ``_order_statistics``; ``numbers`` is scanned a few times, so it should
+    be a written table."""
+    clean = numbers.select(*[F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")).alias(c) for c in numbers.columns])
+    sizes = clean.agg(*[F.count(f"`{c}`") for c in clean.columns]).first()
+    wanted, asked = [], {}
+    for c, n in zip(clean.columns, sizes):
+        for q in probs if n else []:
+            at = (n - 1) * q
+            lo = int(at)
+            hi = lo + (at > lo)
+            wanted.append((c, q, lo, hi, at - lo))
+            asked.setdefault(c, set()).update((lo, hi))
+    value = _order_statistics(clean, asked, bins) if asked else {}
+    rows = [(c, float(q), value[c, lo] + (value[c, hi] - value[c, lo]) * part) for c, q, lo, hi, part in wanted]
+    return numbers.sparkSession.createDataFrame(rows, "column_name string, prob double, value double")

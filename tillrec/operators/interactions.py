@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hash_unit, money_sum
-from .common import ordered_rank
+from .common import exact_quantiles, ordered_rank
 
 
 def _keyed(tx: DataFrame, *keys: str) -> DataFrame:
@@ -109,3 +109,33 @@ def split_interactions(
     on (salt, user, item), never on partitioning or row order."""
     thr = int(round(test_ratio * 10000))
     return r.withColumn("is_test", hash_unit(user, item, salt=salt) < F.lit(thr))
+
+
+def split_by_time(tx: DataFrame, test_ratio: float = 0.2, time: str = "date") -> DataFrame:
+    """F5 by time: adds ``is_test``, true for rows later than one moment for
+    all users, so that no training row is later than a test row.  The moment
+    is the time at rank floor((n − 1)·(1 − ratio)) of the n rows that have
+    one, found by selection; rows at that very moment train, so the test
+    side is at most ``test_ratio``.  Rows without a time train."""
+    seconds = F.col(time).cast("timestamp").cast("double")
+    n = tx.where(F.col(time).isNotNull()).count()
+    if not n:
+        return tx.withColumn("is_test", F.lit(False))
+    rank = int((n - 1) * (1 - test_ratio) + 1e-9)
+    moment = exact_quantiles(tx.select(seconds.alias("t")), [rank / (n - 1) if n > 1 else 0.0]).first()["value"]
+    # the quantile may be a rounding away from the rank's value, which is a whole microsecond
+    moment = round(moment * 1e6) / 1e6
+    return tx.withColumn("is_test", F.coalesce(seconds > F.lit(moment), F.lit(False)))
+
+
+def leave_last(tx: DataFrame, user: str = "client_id", time: str = "date", tie: str = "id", min_rows: int = 2) -> DataFrame:
+    """F5, per user: adds ``is_test``, true for the last row of each user with
+    at least ``min_rows`` rows, by (time, tie); equal ones are all last.  A
+    user's last row is a partial and final aggregate, so a user with very
+    many rows is never one window."""
+    key = F.struct(F.col(time).alias("t"), F.col(tie).alias("i"))
+    last = tx.where(F.col(user).isNotNull() & F.col(time).isNotNull()).groupBy(F.col(user).alias("_u")).agg(
+        F.max(key).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    j = tx.join(last, tx[user] == last["_u"], "left")
+    test = (F.col("_n") >= min_rows) & (key == F.col("_last"))
+    return j.select(*[tx[c] for c in tx.columns], F.coalesce(test, F.lit(False)).alias("is_test"))

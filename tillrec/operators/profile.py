@@ -3,10 +3,11 @@ wide single row is unpivoted into a small long table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import reliable
 from .common import exact_quantiles
 
 
@@ -39,17 +40,34 @@ def column_kinds(df: DataFrame) -> tuple[list[str], list[str]]:
     return num, cat
 
 
+def observed(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df`` that counts its rows and nulls (B2, B6) while some later job
+    runs over it, and the observation that has the counts afterwards."""
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("n_rows"), *[F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(f"null_{k}") for k, c in enumerate(df.columns)]]
+    return df.observe(seen, *counts), seen
+
+
+def observed_profile(spark: SparkSession, df: DataFrame, seen: Observation) -> DataFrame:
+    """B1-B3 of an observed write: (position, column_name, data_type, n_rows, n_null)."""
+    got = seen.get
+    rows = [(k, f.name, f.dataType.simpleString(), got["n_rows"], got[f"null_{k}"]) for k, f in enumerate(df.schema.fields)]
+    return spark.createDataFrame(rows, "position int, column_name string, data_type string, n_rows bigint, n_null bigint")
+
+
 STATS = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
 
 
 def describe_numeric(df: DataFrame, columns: list[str] | None = None, digits: int = 4) -> DataFrame:
     """Count, mean, sample std, min, exact interpolated quartiles, max
-    per numeric column — one aggregation, unpivoted, and the quartiles by
-    distributed ranks."""
+    per numeric column.  The numbers are written once, narrow; one
+    aggregation of them gives the moments, and the quartiles come by
+    selection."""
     cols = columns or column_kinds(df)[0]
+    df = reliable(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols]))
     aggs = []
     for c in cols:
-        x = F.col(f"`{c}`").cast("double")
+        x = F.col(f"`{c}`")
         aggs += [
             F.count(x).alias(f"{c}__count"),
             F.avg(x).alias(f"{c}__mean"),
@@ -71,7 +89,7 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None, digits: in
             )
         )
     stats = row.select(F.explode(F.array(*structs)).alias("_s")).select("_s.*")
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75]).groupBy("column_name").agg(
+    q = exact_quantiles(df, [0.25, 0.5, 0.75]).groupBy("column_name").agg(
         *[F.round(F.max(F.when(F.col("prob") == v, F.col("value"))), digits).alias(n) for n, v in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))]
     )
     return stats.join(q, "column_name", "left").select("column_name", *STATS)

@@ -106,6 +106,35 @@ def item_similarity(ix: DataFrame, value: str = "transaction_count", heavy_degre
     return cosine_pairs(ix, item, user, value, heavy_degree, "item_a", "item_b", min_sim).where(F.col("sim") > min_sim)
 
 
+# ---- from a bucketed table ----------------------------------------------------
+
+
+def weighted_cells(ix: DataFrame, key: str, other: str, value: str = "transaction_count") -> DataFrame:
+    """Cells (_k, _x, _v) with the norm ``_n`` of their key and the number
+    ``_m`` of cells of their x; what the bucketed table holds."""
+    base = _cells(ix, key, other, value)
+    degree = base.groupBy("_x").agg(F.count(F.lit(1)).alias("_m"))
+    return _weighted(base).drop("_d").join(degree, "_x").select("_x", "_k", "_v", "_n", "_m")
+
+
+def bucketed_cosine_pairs(cells: DataFrame, heavy_degree: int = DEFAULT_HEAVY_DEGREE, out_a: str = "a", out_b: str = "b") -> DataFrame:
+    """``cosine_pairs`` of a table written by ``write_cells``.  The cells of
+    an x lie in one bucket, so those of ordinary x are joined in place; only
+    the x above ``heavy_degree`` are dealt out in chunks, which shuffles them."""
+    cols = ["_k", "_v", "_n"]
+    light = _meet(cells.where(F.col("_m") <= heavy_degree).drop("_m"), cols, None)
+    hot = cells.where(F.col("_m") > heavy_degree)
+    parts = F.ceil(F.col("_m") / F.lit(heavy_degree)).cast("int")
+    chunk, rep = F.pmod(F.xxhash64("_k"), parts).cast("int"), F.explode(F.sequence(F.lit(0), parts - 1))
+    side = lambda s: [F.col(c).alias(c + s) for c in cols]
+    dealt = hot.select("_x", *side("a"), chunk.alias("_j1"), rep.alias("_j2")).join(
+        hot.select("_x", *side("b"), rep.alias("_j1"), chunk.alias("_j2")), ["_x", "_j1", "_j2"]).where(F.col("_ka") < F.col("_kb"))
+    met = light.unionByName(dealt.select(*light.columns))
+    pairs = met.groupBy("_ka", "_kb", "_na", "_nb").agg(F.sum(F.col("_va") * F.col("_vb")).alias("_dot"))
+    return pairs.select(
+        F.col("_ka").alias(out_a), F.col("_kb").alias(out_b), (F.col("_dot") / (F.col("_na") * F.col("_nb"))).alias("sim"))
+
+
 # ---- requested pairs and pairs above a threshold ---------------------------
 
 PROBE_ROWS = 100_000

@@ -495,6 +495,24 @@ def f05(spark, sf):
     return r.select("client_id", "merchant_id", r6("rating"), "is_test")
 
 
+@q("f05_split_by_time", W(TXB, """SELECT id, client_id, merchant_id, date, amount,
+  coalesce(date > (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS r, count(*) OVER () AS n FROM tx WHERE date IS NOT NULL) o
+                   WHERE r = floor((n - 1) * 0.8 + 1e-9)), false) AS is_test FROM tx"""))
+def f05b(spark, sf):
+    """Train before one moment, test after it."""
+    t = base.tx_plain(spark, sf).select("id", "client_id", "merchant_id", "date", "amount")
+    return IN.split_by_time(t, 0.2)
+
+
+@q("f05_leave_last", W(TXB, """SELECT id, client_id, merchant_id, date, coalesce(n >= 2 AND date = last_date AND id = last_id, false) AS is_test
+  FROM (SELECT *, count(date) OVER (PARTITION BY client_id) AS n,
+               first_value(date) OVER (PARTITION BY client_id ORDER BY date DESC NULLS LAST, id DESC) AS last_date,
+               first_value(id) OVER (PARTITION BY client_id ORDER BY date DESC NULLS LAST, id DESC) AS last_id FROM tx) t"""))
+def f05c(spark, sf):
+    """The last transaction of every user as test."""
+    return IN.leave_last(base.tx_plain(spark, sf).select("id", "client_id", "merchant_id", "date"))
+
+
 # ----------------------------------------------------------------------------
 # similarity and neighbourhood recommenders
 # ----------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Stage jobs — the batch entry points replacing the reference's step runner.
 
+    python -m tillrec.plans.jobs ingest    --input CSV --out DIR
     python -m tillrec.plans.jobs prepare   --input DIR --out DIR
     python -m tillrec.plans.jobs recommend --input DIR --out DIR
     python -m tillrec.plans.jobs factors   --input DIR --out DIR
@@ -25,7 +26,8 @@ from ..operators import evaluate as EV
 from ..operators import factors as FA
 from ..operators import interactions as IN
 from ..operators import neighbors as NB
-from ..operators.clean import merchant_info
+from ..operators.clean import clean_transactions, merchant_info
+from ..sources import rejects as RJ
 from ..sources import sinks as SK
 from ..sources.readers import head_sample
 from ..session import ensure_checkpoint_dir
@@ -33,10 +35,17 @@ from . import base
 from . import evaluation as EVP
 
 
+def ingest(spark: SparkSession, inp: str, out: str) -> dict:
+    """Checked scan of transaction CSVs: cleaned transactions and, beside
+    them, the records that could not be read, with reasons."""
+    checked = RJ.read_checked(spark, inp)
+    return RJ.write_checked(checked, f"{out}/transactions", f"{out}/rejected_transactions", clean_transactions)
+
+
 def prepare(spark: SparkSession, inp: str, out: str, limit: int | None = None) -> dict:
     """Day 1: clean, interaction tables, pivots, summary."""
     tx = head_sample(base.tx(spark, inp), limit, ["date", "id", "client_id", "merchant_id"])
-    SK.write_transactions(tx, f"{out}/transactions")
+    SK.write_transactions(tx, f"{out}/transactions").write.mode("overwrite").parquet(f"{out}/transactions_profile")
     tx = spark.read.parquet(f"{out}/transactions")
     ix = IN.interactions(tx)
     SK.write_interactions(ix, f"{out}/user_merchant_interactions")
@@ -94,7 +103,7 @@ STAGES = {"prepare": prepare, "recommend": recommend, "factors": factors, "evalu
 
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser()
-    ap.add_argument("stage", choices=[*STAGES, "all"])
+    ap.add_argument("stage", choices=["ingest", *STAGES, "all"])
     ap.add_argument("--input", required=True)
     ap.add_argument("--out", required=True)
     ap.add_argument("--limit", type=int, default=None)
@@ -104,7 +113,8 @@ def main(argv=None) -> None:
     todo = list(STAGES) if a.stage == "all" else [a.stage]
     for name in todo:
         t0 = time.time()
-        res = prepare(spark, a.input, a.out, a.limit) if name == "prepare" else STAGES[name](spark, a.input, a.out)
+        run = {"ingest": ingest, **STAGES}[name]
+        res = run(spark, a.input, a.out, a.limit) if name == "prepare" else run(spark, a.input, a.out)
         print(json.dumps({"stage": name, "seconds": round(time.time() - t0, 1), "result": res}, default=str))
 
 

@@ -6,18 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.evaluate import COMPARE_COLUMNS, compare_models
+from ..operators.profile import observed, observed_profile
+from ..operators.similarity import weighted_cells
 
 
-def write_transactions(tx: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = "year") -> None:
+def write_transactions(tx: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = "year") -> DataFrame:
     """Cleaned transactions, partitioned by year (partition pruning for
-    date-bounded reads)."""
-    w = tx.write.mode("overwrite")
+    date-bounded reads).  The same job counts rows and nulls; the result is
+    their profile (B1-B3): column, type, rows, nulls."""
+    counted, seen = observed(tx)
+    w = counted.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(partition_by)
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:
         w.parquet(path)
+    return observed_profile(tx.sparkSession, tx, seen)
+
+
+def write_cells(ix: DataFrame, name: str, key: str, other: str, value: str = "transaction_count", buckets: int = 64) -> None:
+    """A10 as a bucketed table: the non-zero cells of the interactions with
+    the norm of their key and the degree of their other side, hash-bucketed
+    and sorted by the other side.  ``bucketed_cosine_pairs`` joins it with
+    itself without an exchange; written once by item and once by user, it
+    serves E1 and E2 for any number of runs."""
+    cells = weighted_cells(ix, key, other, value)
+    cells.write.mode("overwrite").bucketBy(buckets, "_x").sortBy("_x").saveAsTable(name)
 
 
 def write_matrix(ix: DataFrame, path: str, row: str, col: str, value: str, values: list | None = None,
