@@ -155,3 +155,23 @@ def test_incremental_interactions_match_batch(spark, micro_raw, micro_ix):
                  for r in latest_interactions(spark, table).collect())
     exp = sorted((r.client_id, r.merchant_id, r.transaction_count, round(r.total_amount, 2)) for r in micro_ix.collect())
     assert got == exp
+
+
+def test_log_is_compacted(spark, micro_raw, micro_ix):
+    """Bases every two batches: the result is the same and older batches are not read."""
+    from tillrec.streaming.interactions import _finished_base, compact, latest_interactions, start_interactions
+
+    src, table, ck = _fresh(), _fresh() + "/t", _fresh() + "/ck"
+    for k in range(5):
+        micro_raw.where(F.col("id") % 5 == k).coalesce(1).write.mode("append").parquet(f"{src}/in")
+        q = start_interactions(spark, f"{src}/in", table, ck, available_now=True, compact_every=2)
+        q.awaitTermination(120)
+    assert _finished_base(spark, table) == 3
+    exp = sorted((r.client_id, r.merchant_id, r.transaction_count, round(r.total_amount, 2)) for r in micro_ix.collect())
+    rows = lambda: sorted((r.client_id, r.merchant_id, r.transaction_count, round(r.total_amount, 2)) for r in latest_interactions(spark, table).collect())
+    assert rows() == exp
+    plan = latest_interactions(spark, table)._jdf.queryExecution().executedPlan().toString()
+    assert any("batch_id" in part[:200] for part in plan.split("PartitionFilters")[1:])
+    compact(spark, table, 4)
+    compact(spark, table, 4)  # a batch that runs again
+    assert _finished_base(spark, table) == 4 and rows() == exp

@@ -5,13 +5,15 @@ else starts from — (client_id, merchant_id, transaction_count, total_amount)
 — current while transaction files keep arriving.  It is Structured
 Streaming's own stateful aggregation (state store, checkpointed): each
 micro-batch emits the pairs whose totals changed ("update" mode) and
-``foreachBatch`` appends them, tagged with the batch id, to an upsert log.
-Such an append is at least once; ``latest_interactions`` reads the newest row
-per pair, so a batch written twice changes nothing.
+``foreachBatch`` writes them to the batch's own folder of an upsert log, so a
+batch that is run twice replaces itself.  Every ``compact_every`` batches the
+newest row of each pair is written as a base table; ``latest_interactions``
+reads the last finished base and only the batches behind it.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -49,24 +51,49 @@ def running_interactions(stream: DataFrame) -> DataFrame:
 
 def start_interactions(
     spark: SparkSession, source_dir: str, table_dir: str, checkpoint_dir: str,
-    fmt: str = "parquet", available_now: bool = False,
+    fmt: str = "parquet", available_now: bool = False, compact_every: int = 100, max_files: int | None = None,
 ) -> StreamingQuery:
     """Run the incremental D1 job; ``available_now`` processes what is there
     and stops (batch-style backfill with the same code path)."""
-    agg = running_interactions(transaction_stream(spark, source_dir, fmt))
+    agg = running_interactions(transaction_stream(spark, source_dir, fmt, max_files))
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(table_dir)
+        batch.write.mode("overwrite").parquet(f"{table_dir}/log/batch_id={batch_id}")
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            compact(batch.sparkSession, table_dir, batch_id)
 
     w = agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint_dir).foreachBatch(upsert)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
+NEWEST = ["transaction_count", "total_amount", "last_date"]
+
+
+def _finished_base(spark: SparkSession, table_dir: str) -> int | None:
+    """The last batch of the newest base table that was written to its end."""
+    try:
+        return spark.read.parquet(f"{table_dir}/finished").agg(F.max("upto")).first()[0]
+    except AnalysisException:  # no base yet
+        return None
+
+
 def latest_interactions(spark: SparkSession, table_dir: str) -> DataFrame:
-    """Current interaction table from the upsert log: newest row per pair."""
-    log = spark.read.parquet(table_dir)
-    newest = F.max_by(F.struct("transaction_count", "total_amount", "last_date"), F.col("batch_id"))
+    """Current interaction table: the newest row per pair of the last base and
+    the batches behind it."""
+    upto = _finished_base(spark, table_dir)
+    log = spark.read.parquet(f"{table_dir}/log").select("client_id", "merchant_id", *NEWEST, "batch_id")
+    if upto is not None:  # a partition filter: older batches are not read
+        base = spark.read.parquet(f"{table_dir}/base/upto_{upto}").withColumn("batch_id", F.lit(-1))
+        log = base.unionByName(log.where(F.col("batch_id") > upto))
+    newest = F.max_by(F.struct(*NEWEST), F.col("batch_id"))
     return log.groupBy("client_id", "merchant_id").agg(newest.alias("_r")).select(
-        "client_id", "merchant_id", "_r.transaction_count", "_r.total_amount", "_r.last_date"
-    )
+        "client_id", "merchant_id", *[f"_r.{c}" for c in NEWEST])
+
+
+def compact(spark: SparkSession, table_dir: str, upto: int) -> None:
+    """Write the state after batch ``upto`` as a base table and, when it is
+    complete, say so; a base that was cut short is never read and is
+    replaced when its batch runs again."""
+    latest_interactions(spark, table_dir).write.mode("overwrite").parquet(f"{table_dir}/base/upto_{upto}")
+    spark.createDataFrame([(upto,)], "upto bigint").write.mode("append").parquet(f"{table_dir}/finished")
