@@ -1,10 +1,13 @@
 """Nearest neighbours by inner product over randomly rotated one-bit codes.
 
-Every vector is centred, randomly rotated and kept as the signs of its
-coordinates (packed bits) with two correction scalars: its distance to the
-centre and how well the signs align with it.  For a query the bits estimate
-every inner product, with an error bound; only vectors whose upper estimate
-reaches the query's current k-th best are reranked by the exact product.
+Every vector is centred, randomly rotated into ``WIDER`` times as many
+dimensions and kept as the signs of its coordinates there (packed bits) with
+two correction scalars: its distance to the centre and how well the signs
+align with it.  For a query the bits estimate every inner product, with an
+error bound that falls with the number of bits.  A first pass forms the exact
+products of the best estimates of each block of rows; the k-th of them, over
+all tasks, is a floor that the query's k-th best cannot lie below.  The second
+pass reranks, by exact products, the vectors whose upper estimate reaches it.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ ROW_BLOCK = 8_192
 QUERY_SUB = 512
 #: Error bounds in standard deviations of the estimate's error.
 EPSILON = 4.0
+#: Bits of a code per dimension of its vector.
+WIDER = 4
 
 
 def usable(v: Column) -> Column:
@@ -30,11 +35,17 @@ def usable(v: Column) -> Column:
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
-    """A random orthogonal matrix, the same in every process."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
+    """A random matrix with orthonormal columns, ``WIDER`` x dim by dim, the same in every process."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((WIDER * dim, dim)))
     return q * np.sign(np.diag(r))
 
 
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows and one vector, added up from the first component
+    to the last: equal vectors get equal products wherever they stand."""
+    return np.cumsum(x * q, axis=1)[:, -1]
+
+
 def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed sign bits, distance to the centre, alignment of signs and vector."""
     y = (x - centre) @ turn.T
@@ -104,55 +115,54 @@ class Best:
         self.floor[full] = self.s[end]
 
 
-def search_block(best: Best, q_ids, q, q_turned, q_norm, q_centre, ids, x, bits, norm, align, k: int) -> int:
-    """Compare a block of queries with a block of rows; returns pairs reranked."""
-    dim = x.shape[1]
+def search_block(best: Best, q_ids, q, q_turned, q_norm, q_centre, ids, x, bits, norm, align, k: int, floors=None) -> int:
+    """Compare a block of queries with a block of rows; returns pairs reranked.
+
+    Without ``floors`` the k best estimates of each query are reranked; with
+    them every row whose upper estimate reaches the query's floor."""
+    wide = q_turned.shape[1]
     scale = max(float(norm.max()), 1e-300)
     n = norm / scale
-    signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1
-    by = (n / (align * np.sqrt(dim))).astype(np.float32)
-    err = (n * np.sqrt(np.maximum(0.0, 1 - align**2)) / align * EPSILON / np.sqrt(max(1, dim - 1)) + 1e-5 * (n + 1)).astype(np.float32)
+    signs = np.unpackbits(bits, axis=1, count=wide).astype(np.float32) * 2 - 1
+    by = (n / (align * np.sqrt(wide))).astype(np.float32)
+    err = (n * np.sqrt(np.maximum(0.0, 1 - align**2)) / align * EPSILON / np.sqrt(max(1, wide - 1)) + 1e-5 * (n + 1)).astype(np.float32)
     reranked = 0
-
-    def rerank(i: np.ndarray, j: np.ndarray) -> None:
-        """Exact products of the pairs, sorted by query; only those that reach the floor go on."""
-        nonlocal reranked
-        cut = np.flatnonzero(np.diff(i)) + 1
-        found = []
-        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(i)]):
-            if hi > lo:
-                k = int(i[lo])
-                them = j[lo:hi][ids[j[lo:hi]] != q_ids[k]]
-                score = x[them] @ q[k]
-                reranked += len(them)
-                good = score >= best.floor[k]
-                found.append((np.full(int(good.sum()), k), score[good], ids[them[good]]))
-        if found:
-            best.add(*(np.concatenate(c) for c in zip(*found)))
-
     for a in range(0, len(q), QUERY_SUB):
         b = min(a + QUERY_SUB, len(q))
         est = q_turned[a:b] @ signs.T
         est *= by
-        # the best estimates first: their exact products raise the floor for the rest
-        m = min(len(ids), 2 * k)
-        top = np.argpartition(est, len(ids) - m, axis=1)[:, len(ids) - m :] if m < len(ids) else np.broadcast_to(np.arange(m), (b - a, m))
-        rerank(np.repeat(np.arange(b - a), m) + a, top.ravel())
-        floor = (best.floor[a:b] / q_norm[a:b] - q_centre[a:b]) / scale
-        est += err
-        at_q, at_x = np.nonzero(est >= np.maximum(floor, -3e38).astype(np.float32)[:, None] - 1e-5)
-        rerank(at_q + a, at_x)
+        if floors is None:
+            m = min(len(ids), k + 1)  # one more, as the query's own row may be among them
+            top = np.argpartition(est, len(ids) - m, axis=1)[:, len(ids) - m :] if m < len(ids) else np.broadcast_to(np.arange(m), (b - a, m))
+            at_q, at_x = np.repeat(np.arange(b - a), m), top.ravel()
+        else:
+            floor = (floors[a:b] / q_norm[a:b] - q_centre[a:b]) / scale
+            est += err
+            at_q, at_x = np.nonzero(est >= np.maximum(floor, -3e38).astype(np.float32)[:, None] - 1e-5)
+        cut = np.searchsorted(at_q, np.arange(b - a + 1))
+        found = []
+        for j in range(b - a):
+            them = at_x[cut[j] : cut[j + 1]]
+            them = them[ids[them] != q_ids[a + j]]
+            if not len(them):
+                continue
+            reranked += len(them)
+            score = products(x[them], q[a + j])
+            good = score >= (best.floor[a + j] if floors is None else max(floors[a + j], best.floor[a + j]))
+            found.append((np.full(int(good.sum()), a + j), score[good], ids[them[good]]))
+        if found:
+            best.add(*(np.concatenate(c) for c in zip(*found)))
     return reranked
 
 
-def _search(index: DataFrame, queries: list, dim: int, centre: np.ndarray, k: int, seed: int) -> DataFrame:
-    q = np.array([r["v"] for r in queries], dtype=np.float64).reshape(-1, dim)
-    shared = index.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in queries], np.int64), q))
+def _search(index: DataFrame, q_ids: np.ndarray, q: np.ndarray, dim: int, centre: np.ndarray, k: int, seed: int, floors=None) -> DataFrame:
+    """Each task's (query_id, vec_id, score) of one pass."""
+    shared = index.sparkSession.sparkContext.broadcast((q_ids, q, floors))
 
     def run(batches):
         import pyarrow as pa
 
-        q_ids, q = shared.value
+        q_ids, q, floors = shared.value
         norm = np.sqrt((q * q).sum(axis=1))
         turned = ((q / norm[:, None]) @ rotation(dim, seed).T).astype(np.float32)
         centred = (q / norm[:, None]) @ centre
@@ -167,7 +177,7 @@ def _search(index: DataFrame, queries: list, dim: int, centre: np.ndarray, k: in
             n, al = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
             for s in range(0, len(ids), ROW_BLOCK):
                 e = s + ROW_BLOCK
-                search_block(best, q_ids, q, turned, norm, centred, ids[s:e], x[s:e], bits[s:e], n[s:e], al[s:e], k)
+                search_block(best, q_ids, q, turned, norm, centred, ids[s:e], x[s:e], bits[s:e], n[s:e], al[s:e], k, floors)
 
         for b in batches:
             if not b.num_rows:
@@ -192,6 +202,19 @@ def _search(index: DataFrame, queries: list, dim: int, centre: np.ndarray, k: in
     return index.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
 
 
+def _top(found: DataFrame, k: int) -> DataFrame:
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _floors(first: DataFrame, q_ids: np.ndarray, k: int) -> np.ndarray:
+    """The k-th product of the first pass for each query of a block, minus infinity where there are fewer."""
+    got = _top(first, k).where(F.col("rank") == k).select("query_id", "score").toPandas()
+    at = dict(zip(got["query_id"].tolist(), got["score"].tolist()))
+    return np.array([at.get(i, -np.inf) for i in q_ids.tolist()])
+
+
 def nearest_by_codes(
     vectors: DataFrame,
     is_query: Column,
@@ -209,8 +232,9 @@ def nearest_by_codes(
     non-finite components, take no part; vectors of different lengths are not
     compared; an id in several rows counts once, with its best score; fewer
     than k candidates are all returned; an empty table gives an empty result.
-    Queries go out in blocks of ``query_block``, each broadcast, against all
-    rows; each task keeps k rows per query.
+    Queries go out in blocks of ``query_block``, each broadcast with its
+    floors, against all rows; the first pass keeps k rows per query and task,
+    the second those that reach the floor.
     """
     every = vectors.select(col(id_col).cast("bigint").alias("id"), col(vector_col).cast("array<double>").alias("v"))
     good = every.where(F.col("id").isNotNull() & usable(F.col("v")))
@@ -223,17 +247,17 @@ def nearest_by_codes(
         centre = _centre(rows, dim)
         index = encode_vectors(rows, dim, centre, seed)
         blocks = -(-n // query_block)
-        if blocks > 1:
-            index = reliable(index)
+        index = reliable(index)
         for b in range(blocks):
             asked = rows.where(is_query & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).distinct().collect()
             if asked:
-                parts.append(_search(index, asked, dim, centre, k, seed))
+                q_ids = np.array([r["id"] for r in asked], np.int64)
+                q = np.array([r["v"] for r in asked], dtype=np.float64).reshape(-1, dim)
+                floors = _floors(_search(index, q_ids, q, dim, centre, k, seed), q_ids, k)
+                parts.append(_search(index, q_ids, q, dim, centre, k, seed, floors))
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
