@@ -11,7 +11,7 @@ SF001 = "/root/testdata/sf0.001"
 
 def test_queries_are_registered():
     names = entry.queries()
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 14))
 
 
 def test_stages(spark, tmp_path):

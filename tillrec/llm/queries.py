@@ -112,6 +112,20 @@ QUERIES = {
     "op13_line_rules": op13_line_rules,
 }
 
+#: Every product of a query and a candidate.
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, max(list_reduce(list_transform(generate_series(1, len(a.e)), lambda i: a.e[i] * b.e[i]), lambda x, y: x + y)) AS score
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) GROUP BY ALL)
+SELECT * FROM (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s) r
+WHERE rank <= 20"""
+
 #: The weighted-fair-queueing mix with whole-table windows.
 OP3_SQL = r"""
 WITH d AS (
@@ -166,6 +180,29 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM low LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
 
+#: Running sums over the whole order; the checksum byte by byte from its table.
+OP9_SQL = """
+WITH steps AS (
+  SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+              lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT CAST(unnest(range(0, 256)) AS BIGINT) AS i) x),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         strlen(coalesce(text, '')) + 1 AS size, md5(coalesce(text, '')) AS a, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS b
+  FROM documents),
+c AS (
+  SELECT r, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(text)), lambda k: CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT))),
+                            lambda c, y: xor(c >> 8, t[xor(c & 255, y) + 1])), 4294967295) AS text_crc32
+  FROM (SELECT r, text, hex(encode(text)) AS h FROM d) x, steps),
+o AS (
+  SELECT *, CAST(sum(size) OVER (ORDER BY a, b, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before,
+         row_number() OVER (ORDER BY a, b, size) AS place, CAST(sum(size) OVER () AS BIGINT) AS total
+  FROM d),
+p AS (SELECT *, least((2 * before + size) * 8 // (2 * total), 7) AS shard FROM o)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard,
+       CAST(row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM p JOIN c USING (r)"""
+
 #: Every kept word against every source, zeros included.
 OP12_SQL = r"""
 WITH d AS (
@@ -236,8 +273,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v"""
 
 SQL: dict[str, str] = {
+    "op2_nearest_by_codes": OP2_SQL,
     "op3_mix_sources": OP3_SQL,
     "op5_decontaminate": OP5_SQL,
+    "op9_shard_documents": OP9_SQL,
     "op12_source_divergence": OP12_SQL,
     "op13_line_rules": OP13_SQL,
 }
