@@ -39,6 +39,16 @@ CALL_BYTES = 1 << 20
 PAIRS_PER_BLOCK = 2_000_000
 
 
+def refined(ends: np.ndarray, coarse: np.ndarray, sizes: np.ndarray, ids: list[int]) -> np.ndarray:
+    """Byte ends, where those of tokens that share a coarse end with a
+    neighbour (parts of one character) come from the decoded bytes."""
+    same = coarse[:-1] == coarse[1:]
+    if same.any():
+        part = np.append(same, False) | np.append(False, same)
+        ends = np.where(part, np.cumsum(sizes[ids]), ends)
+    return ends
+
+
 class Aligner:
     """Groups and links of texts under the two vocabularies (the files' bytes)."""
 
@@ -77,11 +87,7 @@ class Aligner:
         widths = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         at = np.concatenate([[0], np.cumsum(1 + (widths > 0x7F) + (widths > 0x7FF) + (widths > 0xFFFF))])
         ends = at[chars]
-        inside = chars[:-1] == chars[1:]  # the next token ends in the same character
-        if inside.any():
-            fine = np.cumsum(self.len_a[ids])
-            ends[:-1][inside] = fine[:-1][inside]
-        return ids, ends
+        return ids, refined(ends, chars, self.len_a, ids)
 
     def ends_second(self, text: str, size: int) -> tuple[list[int], np.ndarray] | None:
         """The same of the second tokenizer, behind the guard."""
@@ -94,11 +100,7 @@ class Aligner:
             return None
         ids = ids[skip:]
         ends = np.array([p.end for p in pieces], np.int64)[skip:] - len(GUARD)  # spans of the proto count bytes
-        inside = ends[:-1] == ends[1:]
-        if inside.any():
-            fine = np.cumsum(self.len_b[ids])
-            ends[:-1][inside] = fine[:-1][inside]
-        return ids, ends
+        return ids, refined(ends, ends, self.len_b, ids)
 
     def align(self, units: list[str]) -> None:
         """Encode ``units``, put together, and remember what came out for each."""
