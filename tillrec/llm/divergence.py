@@ -24,14 +24,14 @@ from itertools import repeat
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillrec.llm.common import col, reliable
+from tillrec.llm.common import col, reliable, written
 
 #: Bytes that make words: ASCII letters (lower-cased) and all bytes of other characters; the rest become spaces.
 LETTERS = bytes(
     b | 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
 #: Counters of a task hold at most about this many entries before they are sent on.
-ENTRIES = 500_000
+ENTRIES = 1_000_000
 #: Sources of one text that travel together, and sources in a block of pairs.
 LIST = 1024
 BLOCK = 64
@@ -67,17 +67,18 @@ def collapsed(docs: DataFrame, text_col: str, lang_col: str, source_col: str, li
 def word_counts(collapsed_texts: DataFrame, entries: int = ENTRIES) -> DataFrame:
     """(``lang``, ``source``, ``term``, ``n``, ``docs``): occurrences of a word
     in a source and the documents that hold it.  A task adds up what it has
-    read and sends it on whenever ``entries`` counters are full."""
+    read and sends it on whenever ``entries`` counters are full.  It keeps the
+    occurrences, and what of them are repeats inside a document."""
     import pyarrow as pa
 
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
     def count(batches):
-        counts, docs = defaultdict(dict), defaultdict(dict)
+        counts, repeats = defaultdict(dict), defaultdict(dict)
 
         def full():
             for (lang, source), have in counts.items():
-                terms, in_docs = list(have), docs[lang, source]
+                terms, again = list(have), repeats[lang, source].get
                 for k in range(0, len(terms), 100_000):
                     some = terms[k : k + 100_000]
                     yield pa.RecordBatch.from_arrays(
@@ -86,33 +87,32 @@ def word_counts(collapsed_texts: DataFrame, entries: int = ENTRIES) -> DataFrame
                             pa.array(repeat(source, len(some)), pa.string(), size=len(some)),
                             pa.array(some, pa.binary()).cast(pa.string()),
                             pa.array([have[t] for t in some], pa.int64()),
-                            pa.array([in_docs[t] for t in some], pa.int64()),
+                            pa.array([have[t] - again(t, 0) for t in some], pa.int64()),
                         ],
                         schema=schema,
                     )
             counts.clear()
-            docs.clear()
+            repeats.clear()
 
         for batch in batches:
             for i in range(batch.num_rows):
                 words = batch.column(1)[i].as_py().translate(LETTERS).split()
                 lang, held = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
-                if len(held) == 1 and held[0]["n"] == 1:
-                    key = lang, held[0]["source"]
-                    _count_elements(counts[key], words)
-                    _count_elements(docs[key], set(words))
-                else:
-                    once: dict[bytes, int] = {}
-                    _count_elements(once, words)
-                    for h in held:
-                        have, in_docs, n = counts[lang, h["source"]], docs[lang, h["source"]], h["n"]
+                once: dict[bytes, int] = {}
+                _count_elements(once, words)
+                more = [(t, c) for t, c in once.items() if c > 1]
+                for h in held:
+                    key, n = (lang, h["source"]), h["n"]
+                    have, again = counts[key], repeats[key]
+                    if n == 1:
+                        _count_elements(have, words)
+                    else:
                         for t, c in once.items():
                             have[t] = have.get(t, 0) + c * n
-                            in_docs[t] = in_docs.get(t, 0) + n
-                        if sum(map(len, counts.values())) > entries:
-                            yield from full()
-                if sum(map(len, counts.values())) > entries:
-                    yield from full()
+                    for t, c in more:
+                        again[t] = again.get(t, 0) + (c - 1) * n
+                    if sum(map(len, counts.values())) > entries:
+                        yield from full()
         yield from full()
 
     return collapsed_texts.mapInArrow(count, "lang string, source string, term string, n bigint, docs bigint")
@@ -161,8 +161,10 @@ def source_divergence(
     as_text = lambda c: F.coalesce(col(c).cast("string"), F.lit(""))
     texts = collapsed(docs, text_col, lang_col, source_col, list_size)
     counts = word_counts(texts, entries).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    every = docs.select(as_text(lang_col).alias("lang"), as_text(source_col).alias("source")).distinct()
+    blocks = every.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     of_term = Window.partitionBy("lang", "term")
-    kept = reliable(
+    cells = written(
         counts.withColumn("in_docs", F.sum("docs").over(of_term))
         .where(F.col("in_docs") >= min_docs)
         .select(
@@ -171,10 +173,8 @@ def source_divergence(
             (F.row_number().over(of_term.orderBy("source")) == 1).alias("head"),
         )
     )
-    sources = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("held"))
-    langs = kept.where("head").groupBy("lang").agg(F.sum("n_lang").alias("total_lang"), F.count(F.lit(1)).alias("words"))
-    every = docs.select(as_text(lang_col).alias("lang"), as_text(source_col).alias("source")).distinct()
-    blocks = every.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    sources = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("held"))
+    langs = cells.where("head").groupBy("lang").agg(F.sum("n_lang").alias("total_lang"), F.count(F.lit(1)).alias("words"))
     zero = F.lit(0).cast("bigint")
     groups = reliable(
         every.join(sources, ["lang", "source"], "left").join(langs, "lang", "left").join(blocks, "lang")
@@ -183,7 +183,7 @@ def source_divergence(
         .withColumn("b", F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int"))
     )
 
-    known = kept.join(groups, ["lang", "source"]).withColumn("p", probability("n", "total", "words"))
+    known = cells.join(groups, ["lang", "source"]).withColumn("p", probability("n", "total", "words"))
     terms = (
         known.withColumn("q", probability("n_lang", "total_lang", "words"))
         .where("p > q")
