@@ -37,8 +37,10 @@ SIGN_WINDOWS = 2500
 PLAIN_WINDOWS = 800
 WINDOW_CHARS = 112
 SYMBOLS = 129
+#: Copies with something written in that a fit has at least.
+WRITTEN = 3000
 HIDDEN = 8
-EPOCHS = 12
+EPOCHS = 8
 SIZE, OVERLAP = 512, 64
 FLUSH = 1 << 21
 
@@ -114,12 +116,16 @@ def symbols(text: str) -> np.ndarray:
 
 
 def training_windows(docs: DataFrame) -> list[str]:
-    """A bounded sample of windows of distinct texts, chosen by hash: one at the
-    first digit or @ of a text that has one, and one anywhere of any text."""
+    """A bounded sample of windows of distinct texts, chosen by hash: one at a
+    digit or @ of a text that has one (the first behind a place given by the
+    hash, or else the first), and one anywhere of any text."""
     text = docs.where(F.length("text") > 0).select("text", F.xxhash64("text").alias("h"))
     step = max(1, text.select("h").distinct().count() // SAMPLE_DOCS)  # so no task or driver sees more than a bounded share
     text = text.where(F.pmod("h", F.lit(step)) == 0)
     sign = text.withColumn("at", F.regexp_instr(F.col("text"), F.lit("[0-9@]"))).where("at > 0")
+    place = F.pmod(F.col("h"), F.length("text")).cast("int") + 1
+    behind = F.regexp_instr(F.substring(F.col("text"), place, F.length("text")), F.lit("[0-9@]"))
+    sign = sign.withColumn("at", F.when(behind > 0, behind + place - 1).otherwise(F.col("at")))
     near = sign.select("h", F.substring("text", F.greatest(F.col("at") - 48, F.lit(1)), F.lit(WINDOW_CHARS)).alias("w"))
     start = F.pmod(F.col("h"), F.greatest(F.length("text") - WINDOW_CHARS + 1, F.lit(1))).cast("int") + 1
     any_ = text.select("h", F.substring("text", start, F.lit(WINDOW_CHARS)).alias("w"))
@@ -142,10 +148,25 @@ def _card(rng) -> str:
     return body + last
 
 
+#: Spellings of a number to call that the patterns do not take: each third of them is written equally often.
+SPELLINGS = ["({}) {}-{}", "{}-{}-{}", "{}.{}.{}"]
+
+
 def written(rng) -> tuple[int, str]:
-    """A span to write into a window: (kind + 1, text), or a look-alike (0, text)."""
+    """A span to write into a window: (kind + 1, text), or a look-alike (0,
+    text).  Half are the spellings that only the network can find, a third are
+    look-alikes, the rest are spans that the patterns find as well."""
     n = lambda k: _number(rng, k)
-    kind = int(rng.integers(0, 8))
+    turn = int(rng.integers(0, 12))
+    if turn < 6:
+        return 4, SPELLINGS[turn % 3].format(n(3), n(3), n(4))
+    if turn < 10:
+        return 0, [
+            n(4), n(int(rng.integers(5, 13))), f"{n(1)}.{n(2)}", f"{n(1)}.{n(1)}.{n(2)}", f"20{n(2)}-0{n(1)}-1{n(1)}",
+            f"{n(2)}:{n(2)}", "".join("0123456789abcdef"[k] for k in rng.integers(0, 16, 32)), f"@user{n(2)}", f"{n(1)}-{n(2)}",
+            f"{n(3)}.{n(3)}", f"{n(3)}-{n(3)}", f"{n(2)}.{n(2)}.{n(4)}",
+        ][rng.integers(0, 12)]
+    kind = int(rng.integers(0, 4))
     if kind == 0:
         return 1, f"{'abcdefgh'[rng.integers(0, 8)]}{n(2)}.mail+{n(1)}@host-{n(1)}.example.org"
     if kind == 1:
@@ -153,14 +174,13 @@ def written(rng) -> tuple[int, str]:
     if kind == 2:
         c = _card(rng)
         return 3, "".join([c, " ".join(re.findall("....", c)), "-".join(re.findall("....", c))][rng.integers(0, 3)])
-    if kind == 3:
-        return 4, [f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}-{n(3)}-{n(4)}", f"+{n(2)} {n(3)} {n(3)} {n(3)}", f"+1 ({n(3)}) 555-{n(4)}", f"{n(3)}.{n(3)}.{n(4)}"][rng.integers(0, 5)]
-    return 0, [n(4), n(int(rng.integers(5, 13))), f"{n(1)}.{n(2)}", f"{n(1)}.{n(1)}.{n(2)}", f"20{n(2)}-0{n(1)}-1{n(1)}", f"{n(2)}:{n(2)}", "".join("0123456789abcdef"[k] for k in rng.integers(0, 16, 32)), f"@user{n(2)}", f"{n(1)}-{n(2)}"][rng.integers(0, 9)]
+    return 4, [f"+{n(2)} {n(3)} {n(3)} {n(3)}", f"+1 ({n(3)}) 555-{n(4)}"][rng.integers(0, 2)]
 
 
 def labelled(windows: list[str], seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(symbols, tags) of the windows as they are, and of a copy of each second
-    one with a span or look-alike written in."""
+    """(symbols, tags) of the windows as they are, and of copies with a span or
+    look-alike written in at a blank: one of each window, and as many more as
+    make ``WRITTEN`` copies where windows are few."""
     rng, out = np.random.default_rng(seed), []
 
     def add(text: str, more: Span | None = None) -> None:
@@ -171,14 +191,15 @@ def labelled(windows: list[str], seed: int) -> list[tuple[np.ndarray, np.ndarray
             tags[more[1] : more[2]] = more[0]
         out.append((symbols(text), tags))
 
-    for k, w in enumerate(windows):
+    for w in windows:
         add(w)
-        if k % 2 == 0:
-            kind, s = written(rng)
-            at = w.find(" ", int(rng.integers(0, max(1, len(w) - 40))))
-            at = len(w) if at < 0 else at
-            before = w[:at] + " " + (_number(rng, 2) + " " if rng.random() < 0.2 else "")
-            add(before + s + w[at : WINDOW_CHARS + at], (kind, len(before), len(before) + len(s)))
+    for w in windows * max(1, -(-WRITTEN // max(1, len(windows)))):
+        kind, s = written(rng)
+        at = w.find(" ", int(rng.integers(0, max(1, len(w) - 40))))
+        at = len(w) if at < 0 else at
+        before = w[:at] + " " + (_number(rng, 2) + " " if rng.random() < 0.1 else "")
+        after = str(rng.choice([" ", ", ", ". ", ""])) + w[at + 1 :] if rng.random() < 0.3 else w[at:]
+        add((before + s + after)[: WINDOW_CHARS + 48], (kind, len(before), len(before) + len(s)))
     return [(x, y) for x, y in out if len(x)]
 
 
@@ -235,7 +256,7 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]], seed: int = 42) -> R.Param
         value, grad, moves = crf_loss(p["trans"], scores, y[pick].T[: len(scores)], n[pick])
         return value, grad, {"trans": moves.astype(np.float32)}
 
-    return R.train(p, "lstm", x, n, loss, EPOCHS, 96, 0.03, seed)
+    return R.train(p, "lstm", x, n, loss, EPOCHS, 256, 0.05, seed)
 
 
 def viterbi(trans: np.ndarray, s: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -256,21 +277,37 @@ def viterbi(trans: np.ndarray, s: np.ndarray, n: np.ndarray) -> np.ndarray:
     return tags
 
 
-def tagged(p: R.Params, seqs: list[np.ndarray]) -> dict[int, np.ndarray]:
-    """Tags of those sequences that have any tag but 0.
+def may_leave(trans: np.ndarray, s: np.ndarray, n: np.ndarray, margin: float = 0.01) -> np.ndarray:
+    """Lanes whose best path may have a tag other than 0.
+
+    A path is a row of excursions from tag 0, and the best one stays at 0 if
+    no excursion gains.  Over staying, an excursion gains at most ``enter`` for
+    its first transition, ``stay`` for each further one, ``leave`` for the way
+    back, and at each position what the best other tag scores above tag 0.
+    The best gain of an excursion that is still out at a position is a running
+    maximum, so one pass over time bounds them all; ``margin`` covers rounding."""
+    gap = s[:, 1:].max(axis=1) - s[:, 0]
+    base = trans[0, 0]
+    enter, stay, leave = (float(t.max() - base) for t in (trans[0, 1:], trans[1:, 1:], trans[1:, 0]))
+    out = gap[0].copy()  # nothing to enter from at the first position
+    most = np.where(n == 1, out, out + leave)
+    for t in range(1, len(s)):
+        out += stay
+        np.maximum(out, enter, out=out)
+        out += gap[t]
+        live = np.where(t == n - 1, out, out + leave)
+        np.maximum(most, live, out=most, where=t < n)
+    return most > -margin
 
-    A window whose every position prefers tag 0 by at least twice what any
-    transition can gain over 0 -> 0 has tag 0 throughout as its best path: a
-    path's non-zero positions touch at most two transitions each.  Only the
-    other windows need the decoding."""
+
+def tagged(p: R.Params, seqs: list[np.ndarray]) -> dict[int, np.ndarray]:
+    """Tags of those sequences that have any tag but 0; only the windows that
+    ``may_leave`` tag 0 need the decoding."""
     out: dict[int, np.ndarray] = {}
     trans = p["trans"]
-    slack = 2 * max(0.0, float(trans.max() - trans[0, 0]))
     for rows, x, n in R.lanes(seqs, SIZE, OVERLAP):
         s = R.outputs(p, "lstm", x, n)
-        gap = s[:, 1:].max(axis=1) - s[:, 0]
-        gap[np.arange(len(s))[:, None] >= n] = -np.inf
-        pick = np.flatnonzero(gap.max(axis=0) > -slack)
+        pick = np.flatnonzero(may_leave(trans, s, n))
         if not len(pick):
             continue
         tags = viterbi(trans, s[:, :, pick], n[pick])

@@ -2,8 +2,7 @@
 gated cells, backpropagation through time, Adam.
 
 Symbols are small integers, so a cell's input weights are one row per symbol.
-Running (not training) holds states feature by window, one column for each of
-many windows that step together.
+Running (not training) steps many windows together.
 """
 
 from __future__ import annotations
@@ -57,52 +56,77 @@ def backwards(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.take_along_axis(values, at.reshape(len(values), *[1] * (values.ndim - 2), -1), axis=0)
 
 
+def _by_gate(m: np.ndarray, scale: list[float]) -> np.ndarray:
+    """(rows, gates x hidden) as (gate, rows, hidden), each gate scaled."""
+    gates = np.stack(np.split(m, len(scale), axis=1))
+    return np.ascontiguousarray(gates * np.float32(scale)[:, None, None])
+
+
+def _squash(a: np.ndarray) -> None:
+    """1 / (1 + exp(a)) in place: the sigmoid of -a."""
+    np.exp(a, out=a)
+    a += 1
+    np.reciprocal(a, out=a)
+
+
+# Gates stand one behind the other as (gate, lane, hidden), so all of them are
+# squashed at once; their weights carry the sign, and twice the value where
+# tanh(b) = 2 sigmoid(2 b) - 1 is meant.
+
+
 def _gru_run(x: np.ndarray, e: np.ndarray, u: np.ndarray, out_w: np.ndarray) -> np.ndarray:
     """Outputs (time, classes, lane) of a GRU: gates z, r and candidate."""
-    hidden = u.shape[0]
-    e = e.copy()
-    e[:, : 2 * hidden] *= 0.5  # sigmoid(a) = tanh(a / 2) / 2 + 1 / 2
-    zr, cand = np.ascontiguousarray(u[:, : 2 * hidden].T) * np.float32(0.5), np.ascontiguousarray(u[:, 2 * hidden :].T)
+    hidden, width = u.shape[0], x.shape[1]
+    e, u = _by_gate(e, [-1, -1, -2]), _by_gate(u, [-1, -1, -2])
     head = np.ascontiguousarray(out_w.T)
-    h = np.zeros((hidden, x.shape[1]), np.float32)
-    out = np.empty((len(x), len(head), x.shape[1]), np.float32)
-    for t in range(len(x)):
-        a = e.take(x[t], axis=0).T
-        g = zr @ h
-        g += a[: 2 * hidden]
-        np.tanh(g, out=g)
-        g *= 0.5
-        g += 0.5
-        c = cand @ (g[hidden:] * h)
-        c += a[2 * hidden :]
-        np.tanh(c, out=c)
-        h -= c
-        h *= g[:hidden]
-        h += c
-        np.matmul(head, h, out=out[t])
+    h, c = np.zeros((width, hidden), np.float32), np.empty((width, hidden), np.float32)
+    a, g = np.empty((3, width, hidden), np.float32), np.empty((2, width, hidden), np.float32)
+    out = np.empty((len(x), len(head), width), np.float32)
+    with np.errstate(over="ignore"):
+        for t, now in enumerate(x.astype(np.intp)):
+            e.take(now, axis=1, out=a, mode="clip")
+            np.matmul(h, u[:2], out=g)
+            g += a[:2]
+            _squash(g)
+            g[1] *= h
+            np.matmul(g[1], u[2], out=c)
+            c += a[2]
+            _squash(c)
+            c *= 2
+            c -= 1
+            h -= c
+            h *= g[0]
+            h += c
+            np.matmul(head, h.T, out=out[t])
     return out
 
 
 def _lstm_run(x: np.ndarray, e: np.ndarray, u: np.ndarray, out_w: np.ndarray) -> np.ndarray:
     """Outputs (time, classes, lane) of an LSTM: gates i, f, o and candidate."""
-    hidden = u.shape[0]
-    scale = np.repeat(np.float32([0.5, 1]), [3 * hidden, hidden])
-    e, gates, head = e * scale, np.ascontiguousarray((u * scale).T), np.ascontiguousarray(out_w.T)
-    h = np.zeros((hidden, x.shape[1]), np.float32)
-    c = np.zeros_like(h)
-    out = np.empty((len(x), len(head), x.shape[1]), np.float32)
-    for t in range(len(x)):
-        g = gates @ h
-        g += e.take(x[t], axis=0).T
-        np.tanh(g, out=g)
-        s = g[: 3 * hidden]
-        s *= 0.5
-        s += 0.5
-        c *= s[hidden : 2 * hidden]
-        c += s[:hidden] * g[3 * hidden :]
-        h = np.tanh(c)
-        h *= s[2 * hidden :]
-        np.matmul(head, h, out=out[t])
+    hidden, width = u.shape[0], x.shape[1]
+    e, u = _by_gate(e, [-1, -1, -1, -2]), _by_gate(u, [-1, -1, -1, -2])
+    head = np.ascontiguousarray(out_w.T)
+    h, c = np.zeros((width, hidden), np.float32), np.zeros((width, hidden), np.float32)
+    a, g = np.empty((4, width, hidden), np.float32), np.empty((4, width, hidden), np.float32)
+    out = np.empty((len(x), len(head), width), np.float32)
+    with np.errstate(over="ignore"):
+        for t, now in enumerate(x.astype(np.intp)):
+            e.take(now, axis=1, out=a, mode="clip")
+            np.matmul(h, u, out=g)
+            g += a
+            _squash(g)
+            new = g[3]
+            new *= 2
+            new -= 1
+            new *= g[0]
+            c *= g[1]
+            c += new
+            np.multiply(c, -2, out=h)
+            _squash(h)
+            h *= 2
+            h -= 1
+            h *= g[2]
+            np.matmul(head, h.T, out=out[t])
     return out
 
 
