@@ -21,10 +21,13 @@ from pyspark.sql import functions as F
 
 from tillrec.llm.common import col, map_rows, reliable
 
-#: Bounds of the training sample: labelled and unlabelled documents, and content features of a target.
-LABELLED, UNLABELLED, VOCABULARY = 6000, 3000, 1500
-#: Standard errors by which a content feature's shares must differ.
-CLEAR = 4.0
+#: Bounds of the training sample: labelled documents (a class of labels that its share
+#: would leave with less gets up to a twelfth of them on top) and distinct unlabelled texts.
+LABELLED, UNLABELLED = 6000, 3000
+#: Content features of a target: at most so many words, each in so many labelled documents
+#: or more, and with shares that differ by so many standard errors.
+VOCABULARY, SEEN, CLEAR = 1500, 4, 4.0
+#: Rounds of co-training, the certainty asked for, and pseudo-labels a side passes on in a round.
 ROUNDS, SURE, EXCHANGED = 3, 0.97, 300
 CHUNK = 1 << 20
 TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+")
@@ -116,21 +119,23 @@ def _scale(x: np.ndarray, scores: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(scores)), *([scores] if scores.ndim == 1 else scores.T)], axis=1) @ x
 
 
-def _calibrate(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _calibrate(scores: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weights (offset, one for each score) of a logistic map to probabilities, by Newton steps."""
     a = np.column_stack([np.ones(len(y)), scores])
     x = np.zeros(a.shape[1])
     for _ in range(25):
         p = _sigmoid(a @ x)
-        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(x))
-        x = x - np.clip(np.linalg.solve(h, a.T @ (p - y) + 1e-2 * x), -3, 3)
+        h = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(x))
+        x = x - np.clip(np.linalg.solve(h, a.T @ (weight * (p - y)) + 1e-2 * x), -3, 3)
     return x
 
 
-def cotrain(words: list[np.ndarray], meta: np.ndarray, y: np.ndarray, known: np.ndarray, n_words: int) -> dict:
+def cotrain(words: list[np.ndarray], meta: np.ndarray, y: np.ndarray, known: np.ndarray, n_words: int, stands_for: np.ndarray | None = None) -> dict:
     """Both classifiers and their calibration for one target.  ``known``: 1 for
-    learning, 2 kept apart for calibration, 0 unlabelled."""
+    learning, 2 kept apart for calibration, 0 unlabelled; ``stands_for`` weighs
+    a labelled document by the rows it stands for."""
     learn, apart = known == 1, known == 2
+    stands_for = np.ones(len(y)) if stands_for is None else stands_for
     centre, spread = meta.mean(axis=0), meta.std(axis=0) + 1e-6
     m = np.clip((meta - centre) / spread, -8, 8)
     sides = [
@@ -138,8 +143,8 @@ def cotrain(words: list[np.ndarray], meta: np.ndarray, y: np.ndarray, known: np.
         (Logistic(m.shape[1], 1e-3), _rows([np.arange(m.shape[1])] * len(m), list(m))),
     ]
     label = [np.where(learn, y, 0.0).astype(float) for _ in sides]
-    weight = [learn.astype(float) for _ in sides]
-    share = y[learn].mean() if learn.any() else 0.5
+    weight = [learn * stands_for for _ in sides]
+    share = np.average(y[learn], weights=stands_for[learn]) if learn.any() else 0.5
     for step in range(ROUNDS + 1):
         for side, (clf, rows) in enumerate(sides):
             clf.fit(rows, label[side], weight[side])
@@ -154,8 +159,8 @@ def cotrain(words: list[np.ndarray], meta: np.ndarray, y: np.ndarray, known: np.
                 label[other][pick], weight[other][pick] = value, 0.5
     scores = np.column_stack([clf.score(rows, len(y)) for clf, rows in sides])
     on = apart if apart.any() else learn
-    own = [_calibrate(scores[on, k], y[on]) for k in range(2)]
-    both = _calibrate(np.column_stack([_scale(own[k], scores[on, k]) for k in range(2)]), y[on])
+    own = [_calibrate(scores[on, k], y[on], stands_for[on]) for k in range(2)]
+    both = _calibrate(np.column_stack([_scale(own[k], scores[on, k]) for k in range(2)]), y[on], stands_for[on])
     return {"w": sides[0][0].w, "wb": sides[0][0].b, "m": sides[1][0].w, "mb": sides[1][0].b, "centre": centre, "spread": spread, "own": own, "both": both}
 
 
@@ -186,20 +191,36 @@ def _side_columns(docs: DataFrame) -> list:
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """Models by target, and the content features' numbers.
 
-    At most ``LABELLED`` labels, chosen by hash, and about ``UNLABELLED``
-    further documents, are looked at; a null label does not count."""
+    The sample is bounded (see ``LABELLED``): labels are thinned and chosen
+    by hash within each class (quality, toxic), so that a rare class is not
+    lost, and weigh as much as the labels they stand for.  A null label does
+    not count; an id's labels are their largest.  Of several documents with
+    one id a hash chooses one; copies of an unlabelled text count once."""
     rated = labels.select(col("doc_id").alias("l_id"), *[col(t).cast("int").alias(f"l_{t}") for t in TARGETS]).where("l_id is not null")
     rated = rated.groupBy("l_id").agg(*[F.max(f"l_{t}").alias(f"l_{t}") for t in TARGETS]).where("l_quality is not null or l_toxic is not null")
-    step = max(1, labels.count() // (4 * LABELLED))
-    thin = rated.where(F.pmod(F.xxhash64("l_id", F.lit(3)), F.lit(step)) == 0)
-    some = reliable(thin.orderBy(F.xxhash64("l_id"), "l_id").limit(LABELLED))
+    rated = reliable(rated)
+    classes = [f"l_{t}" for t in TARGETS]
+    sizes = {(r[0], r[1]): r["n"] for r in rated.groupBy(*classes).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = max(1, sum(sizes.values()))
+    take = {c: min(n, max(LABELLED // 12, round(LABELLED * n / total))) for c, n in sizes.items()}
+    stands = {c: (n / total) * sum(take.values()) / max(1, take[c]) for c, n in sizes.items()}
+    chosen = F.lit(False)
+    most = F.lit(0)
+    for (q, t), n in sizes.items():
+        same = F.col("l_quality").eqNullSafe(F.lit(q)) & F.col("l_toxic").eqNullSafe(F.lit(t))
+        chosen = chosen | same & (F.pmod(F.xxhash64("l_id", F.lit(3)), F.lit(max(1, n // (4 * take[q, t])))) == 0)
+        most = F.when(same, take[q, t]).otherwise(most)
+    in_class = Window.partitionBy(*classes).orderBy(F.xxhash64("l_id"), "l_id")
+    some = rated.where(chosen).withColumn("__r", F.row_number().over(in_class)).where(F.col("__r") <= LABELLED)
+    some = reliable(some.where(F.col("__r") <= most).drop("__r"))
     n = docs.count()
-    pool = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(max(1, n // UNLABELLED))) == 0)
-    first = Window.partitionBy("l_id").orderBy("text")
-    mine = docs.join(F.broadcast(some), docs["doc_id"] == some["l_id"])
-    mine = mine.withColumn("__k", F.row_number().over(first)).where("__k = 1")
-    mine = mine.withColumn("known", F.when(F.pmod(F.xxhash64("l_id", F.lit(5)), F.lit(4)) == 0, 2).otherwise(1).cast("int"))
-    rest = pool.join(F.broadcast(some), pool["doc_id"] == some["l_id"], "left_anti")
+    narrow = docs.select("doc_id", col("text").cast("string").alias("text"), *[c.alias(n) for c, n in zip(_side_columns(docs), ("source", "lang"))])
+    tag = F.xxhash64("text", "source", "lang")
+    one = F.min(F.struct(tag.alias("h"), "text", "source", "lang")).alias("d")
+    mine = narrow.join(F.broadcast(some), narrow["doc_id"] == some["l_id"]).groupBy("l_id", *classes).agg(one)
+    mine = mine.withColumn("known", F.when(F.pmod(F.xxhash64("l_id", F.lit(5)), F.lit(4)) == 0, 2).otherwise(1).cast("int")).select("d.text", "d.source", "d.lang", *classes, "known")
+    pool = narrow.where(F.pmod(F.xxhash64("text", F.lit(8)), F.lit(max(1, n // UNLABELLED))) == 0)
+    rest = pool.join(F.broadcast(some), pool["doc_id"] == some["l_id"], "left_anti").groupBy(F.xxhash64("text").alias("h")).agg(one).select("d.text", "d.source", "d.lang")
     rest = rest.withColumns({"l_quality": F.lit(None).cast("int"), "l_toxic": F.lit(None).cast("int"), "known": F.lit(0)})
     extra = ["l_quality", "l_toxic", "known"]
     seen = _views(mine, extra).union(_views(rest, extra))
@@ -214,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
         # difference of the shares in standard errors
         rate = F.col("d") / max(1, size["n"])
         error = F.sqrt((rate * (1 - rate) + 1e-4) * (1 / max(1, size["p"]) + 1 / max(1, size["n"] - size["p"])))
-        best = per.where("d >= 4").withColumn("s", gap / error).where(F.col("s") >= CLEAR).orderBy(F.col("s").desc(), "word").limit(VOCABULARY)
+        best = per.where(F.col("d") >= SEEN).withColumn("s", gap / error).where(F.col("s") >= CLEAR).orderBy(F.col("s").desc(), "word").limit(VOCABULARY)
         words |= {r["word"] for r in best.collect()}
     number = {w: k for k, w in enumerate(sorted(words))}
     vocabulary = docs.sparkSession.createDataFrame([(w,) for w in number], "word string")
@@ -233,7 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
         state = np.where(here, known, 0)
         value = np.array([v[t] or 0 for v in y], float)
         if len({*value[state == 1].tolist()}) == 2:
-            models[target] = cotrain(lists, meta, value, state, len(number))
+            weight = np.array([stands.get(v, 1.0) for v in y])
+            models[target] = cotrain(lists, meta, value, state, len(number), weight)
     return {"number": number, "models": models}
 
 
@@ -244,7 +266,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     toxicity below it.  With ``carry`` all columns of ``docs`` come first.
 
     Null texts count as empty, null sources and languages as no such feature;
-    columns other than text, source and lang are no inputs.  A target without
+    columns other than text, source and lang are no inputs.  With ``carry``,
+    columns that bear one of the new names are an error.  A target without
     labels of both kinds is not judged (quality 1, toxicity 0).  Repeated rows
     are all kept; an empty table gives an empty result.
     """
