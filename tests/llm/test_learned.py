@@ -163,6 +163,79 @@ def test_pii_sample_counts_copies_once(spark, monkeypatch):
     assert len(got) == 40 and set(got[:20]) != set(got[20:])
 
 
+def test_language_sample_is_the_same_without_a_broadcast(spark, monkeypatch):
+    labelled = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null and text is not null").select("lang", "text")
+    small = langid.training_windows(labelled)
+    monkeypatch.setattr(langid, "MAX_LANGS", 1)
+    assert langid.training_windows(labelled) == small and small
+
+
+def held_out(texts, spelling, seed):
+    """Texts with one number written in at a blank, and where it stands."""
+    rng, out = np.random.default_rng(seed), []
+    for t in texts:
+        at = t.find(" ", int(rng.integers(0, max(1, len(t) - 5))))
+        at = len(t) if at < 0 else at
+        s = spelling.format(pii._number(rng, 3), pii._number(rng, 3), pii._number(rng, 4))
+        out.append((t[:at] + " " + s + t[at:], (3, at + 1, at + 1 + len(s))))
+    return out
+
+
+@pytest.fixture(scope="module")
+def fitted_pii(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    train = docs.where("doc_id % 2 = 0").select("text")
+    texts = [r["text"] for r in docs.where("doc_id % 2 = 1 and length(text) > 0").orderBy("doc_id").collect()]
+    return pii.fit(pii.labelled(pii.training_windows(train), 42), 42), texts
+
+
+@pytest.mark.parametrize("spelling", pii.SPELLINGS)
+def test_network_finds_each_spelling_in_held_out_texts(fitted_pii, spelling):
+    p, texts = fitted_pii
+    cases = held_out([t[:3000] for t in texts[:200]], spelling, 7)
+    tags = pii.tagged(p, [pii.symbols(t) for t, _ in cases])
+    found = [pii.added_spans(t, tags[k], pii.base_spans(t)) if k in tags else [] for k, (t, _) in enumerate(cases)]
+    assert sum(span in f for f, (_, span) in zip(found, cases)) >= 0.9 * len(cases)
+
+
+def test_network_adds_little_else(fitted_pii):
+    p, texts = fitted_pii
+    tags = pii.tagged(p, [pii.symbols(t) for t in texts])
+    more = [s for k in tags for s in pii.added_spans(texts[k], tags[k], pii.base_spans(texts[k]))]
+    assert len(more) <= 0.01 * len(texts)
+
+
+def test_windows_left_out_of_decoding_have_no_tag(fitted_pii):
+    """The bound against decoding every window, with the fitted weights and with ones that tag a lot."""
+    p, texts = fitted_pii
+    some = [pii.symbols(t) for t, _ in held_out(texts[:60], "{}-{}-{}", 3)] + [pii.symbols(t) for t in texts[60:120]]
+    loose = p | {"trans": p["trans"] * 0.2, "bias": p["bias"] + np.float32([0, 1.5, 1, 1, 2])}
+    for q in (p, loose):
+        n_out = n_all = 0
+        for rows, x, n in pii.R.lanes(some, pii.SIZE, pii.OVERLAP):
+            s = pii.R.outputs(q, "lstm", x, n)
+            out = ~pii.may_leave(q["trans"], s, n)
+            tags = pii.viterbi(q["trans"], s, n)
+            assert not tags[:, out].any()
+            n_out, n_all = n_out + int(out.sum()), n_all + len(n)
+        if q is p:
+            assert n_out > 0.5 * n_all
+
+
+def test_one_position_windows_and_bounds():
+    trans = np.zeros((5, 5), np.float32)
+    s = np.zeros((3, 5, 4), np.float32)
+    s[0, 1, 0] = 1  # gains at its only position
+    s[:, 2, 1] = [-1, 3, -1]
+    s[:, 1:, 2] = -1
+    s[:, 1:, 3] = -1
+    s[2, 1, 3] = 5  # behind the end of its lane
+    n = np.array([1, 3, 3, 2])
+    got = pii.may_leave(trans, s, n)
+    assert got.tolist() == [True, True, False, False]
+    assert (pii.viterbi(trans, s, n)[:, ~got] == 0).all()
+
+
 def test_pii_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(awkward(spark).select(F.col("doc_id") + 5000, "text").toDF("doc_id", "text"))
     extra = [(10_000 + k, f"call ({k}12) 555-1234 or card 12 4111111111111111 now, see 2024") for k in range(1, 9)]
@@ -195,6 +268,30 @@ def test_cotraining_passes_labels_between_the_views():
     assert ((p > 0.5) == y)[80:].mean() > 0.95
 
 
+def test_rare_class_of_labels_is_learned(spark):
+    """One toxic document in a thousand: all of its labels are looked at, and toxic documents outside the labels are found."""
+    n = 24_000
+    i = F.col("id")
+    toxic = i % 1000 == 7
+    words = F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.pmod(F.xxhash64(i, F.lit(k)), F.lit(50)).cast("string")) for k in range(12)])
+    docs = spark.range(n).select(
+        i.alias("doc_id"), F.when(toxic, F.concat(words, F.lit(" vile foul rotten"))).otherwise(words).alias("text"),
+        F.lit("s").alias("source"), F.lit("en").alias("lang"), toxic.alias("bad"))
+    labels = docs.where("doc_id % 5 < 4").select("doc_id", F.lit(1).alias("quality"), F.col("bad").cast("int").alias("toxic"))
+    r = quality.score_documents(docs, labels).join(docs, "doc_id").groupBy("bad").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()
+    kept = {x["bad"]: x["kept"] for x in r}
+    assert kept[True] < 0.1 and kept[False] > 0.995
+
+
+def test_quality_with_one_id_for_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(quality, "UNLABELLED", 50)
+    docs = spark.range(3000).select(
+        F.when(F.col("id") < 2500, F.lit(None)).otherwise(F.col("id") % 3).cast("bigint").alias("doc_id"),
+        F.concat(F.lit("text "), (F.col("id") % 40).cast("string")).alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"))
+    labels = spark.createDataFrame([(k % 3, k % 2, 0) for k in range(30)], "doc_id bigint, quality int, toxic int")
+    assert quality.score_documents(docs, labels).count() == 3000
+
+
 def test_quality_awkward(spark):
     labels = spark.createDataFrame([(1, 1, 0), (8, 0, None), (None, 1, 1), (7, 0, 1), (7, 0, 1), (99, 1, 0)], "doc_id bigint, quality int, toxic int")
     got = quality.score_documents(awkward(spark), labels)

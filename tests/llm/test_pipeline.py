@@ -4,6 +4,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 import pytest
 
+from cases import awkward, empty
 from tillrec.llm.decontaminate import words_of, windows_of
 
 SF001 = "/root/testdata/sf0.001"
@@ -33,6 +34,35 @@ def test_stages(spark, tmp_path):
     assert {r["shard"] for r in docs.select("shard").collect()} == set(range(8))
 
 
+@pytest.mark.parametrize("table", [awkward, empty])
+def test_stages_on_awkward_tables(spark, tmp_path, table):
+    """Nulls, repeats, long and empty texts, clashing and dotted columns; and no rows at all."""
+    docs = table(spark)
+    columns, n = docs.columns, docs.count()
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF001)
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == columns, name
+        else:  # the last stage brings its own columns of these names
+            assert {*columns} <= {*out.columns} and len({*out.columns}) == len(out.columns)
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert docs.count() <= 2 * n
+
+
+def test_run_leaves_only_what_the_result_reads(spark):
+    import os
+
+    from tillrec.session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = {f for f in os.listdir(base) if f.startswith("pipeline-")}
+    out = corpus_pipeline.run(spark, SF001)
+    made = [f for f in os.listdir(base) if f.startswith("pipeline-") and f not in before]
+    assert out.count() > 0 and len(made) == 1
+    assert [f for f in os.listdir(f"{base}/{made[0]}") if not f.startswith(".")] == ["3-mix"]
+
+
 @pytest.mark.parametrize("name", ["op2_nearest_by_codes", "op10_token_counts"])
 def test_query_runs(spark, name):
     df = entry.queries()[name](spark, SF001)
