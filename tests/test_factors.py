@@ -42,6 +42,13 @@ def test_svd_equals_numpy(svd, dense):
     assert np.allclose(table(svd.users, 5, 200), dense @ v, atol=1e-6)
 
 
+def test_products_are_the_same_by_shuffle(svd, ratings, monkeypatch):
+    """Factor tables above the broadcast bound."""
+    monkeypatch.setattr(FA, "BROADCAST_FACTOR_BYTES", 0)
+    assert np.allclose(FA.fit_svd(ratings, k=5).sigma, svd.sigma, rtol=1e-6)
+    assert np.isfinite(FA.fit_nmf(ratings, k=2, max_iter=2).reconstruction_err)
+
+
 def test_nmf_converges(ratings, dense):
     m = FA.fit_nmf(ratings, k=4)
     w, h = table(m.users, 4, 200), table(m.items, 4, 200)
