@@ -142,14 +142,17 @@ def mix_sources(
     return out.select(*[col(c) for c in keep], "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as the mix takes it."""
-    out = mix_sources(docs, carry=True, **options)
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as the mix takes it, with
+    all its columns, also those that bear a name of the mix's own."""
+    names = {c.lower(): f"__d{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[col(c).alias(names[c.lower()]) for c in docs.columns])
+    asked = {k: names[c.lower()] for k, c in (("id_col", id_col), ("text_col", text_col), ("source_col", source_col))}
+    out = mix_sources(plain, carry=True, **asked, **options)
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    kept = free_columns(docs, OUT)
     return (
         out.withColumn("__times", times)
         .where(F.col("__times") > 0)
         .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-        .select(*[col(c) for c in kept])
+        .select(*[col(names[c.lower()]).alias(c) for c in docs.columns])
     )
