@@ -20,7 +20,6 @@ from tillrec.llm.common import col, reliable
 DOCS_PER_LANG = 400
 WINDOWS_PER_DOC = 3
 WINDOW_CHARS = 120
-TRAIN_BYTES = 128
 #: Most languages whose counts (some 50 bytes each) are broadcast.
 MAX_LANGS = 10_000
 HIDDEN = 8
@@ -71,7 +70,7 @@ def fit(windows: list[tuple[str, str]], seed: int = 42) -> tuple[list[str], R.Pa
     """Languages and network weights; every window's bytes are labelled with its language."""
     langs = sorted({lang for lang, _ in windows})
     p = R.fresh("gru", 256, HIDDEN, max(1, len(langs)), seed)
-    parts = [(langs.index(lang), as_bytes(t)[:TRAIN_BYTES]) for lang, t in windows if t]
+    parts = [(langs.index(lang), as_bytes(t)) for lang, t in windows if t]
     if len(langs) < 2 or not parts:
         return langs, p
     n = np.array([len(b) for _, b in parts])
@@ -111,7 +110,8 @@ def probabilities(p: R.Params, seqs: list[np.ndarray]) -> np.ndarray:
 
 def predict_language(docs: DataFrame, langs: list[str], p: R.Params, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``lang_pred`` and ``score`` of every row; ``und`` with score 0 for
-    a text that is null, empty or without letters, or if nothing was learned."""
+    a text that is null, empty or without letters, or if nothing was learned;
+    of equally probable languages the smaller by code point."""
     shared = docs.sparkSession.sparkContext.broadcast((langs, p))
     kind = docs.schema[id_col].dataType.simpleString()
 
