@@ -89,6 +89,33 @@ def test_pairs_above_a_threshold(spark, t):
         assert all(abs(got[k] - exp[k]) < 1e-12 for k in exp)
 
 
+@pytest.mark.parametrize("block_cells,held,text", [(250_000, 3_000_000, False), (40, 3, True), (5, 20, False)])
+def test_pairs_by_cells_equal_brute_force(spark, monkeypatch, block_cells, held, text):
+    """Several blocks on both sides, heavy keys, groups cut into lists of two rows."""
+    monkeypatch.setattr(SI, "HELD_CELLS", held)
+    monkeypatch.setattr(SI, "PRODUCTS", 50)
+    ix = table(spark, text=text)
+    for key, other in (("client_id", "merchant_id"), ("merchant_id", "client_id")):
+        w = SI.reliable(SI._weighted(SI._cells(ix, key, other, "transaction_count")))
+        exp = brute(ix, key, other)
+        for above in (None, 0.3):
+            rows = [tuple(r) for r in SI._pair_sums(w, "a", "b", above, heavy_degree=2, block_cells=block_cells).collect()]
+            got = {r[:2]: r[2] for r in rows}
+            assert len(rows) == len(got) and got.keys() == {k for k, v in exp.items() if above is None or v > above}
+            assert all(abs(v - exp[k]) < 1e-12 for k, v in got.items())
+
+
+def test_pairs_are_summed_where_they_are_formed(spark):
+    """No product or candidate pair is a row of a shuffle, with a threshold
+    neither unless the prefixes leave few."""
+    ix = table(spark, n_users=200, n_items=60)
+    for t in (0.0, 0.25):
+        plan = SI.user_similarity(ix, min_sim=t)._jdf.queryExecution().toString()
+        assert "FlatMapGroupsInPandas" in plan and "_dot" not in plan
+    w = SI.reliable(SI._weighted(SI._cells(ix, "client_id", "merchant_id", "transaction_count")))
+    assert not SI._prefixes_pay(w, 0.25) and SI._prefixes_pay(w, 0.999)
+
+
 def test_prefixes_prune_candidates(spark):
     ix = table(spark, n_users=200, n_items=60)
     w = SI._weighted(SI._cells(ix, "client_id", "merchant_id", "transaction_count"))
