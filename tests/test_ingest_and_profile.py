@@ -192,3 +192,17 @@ def test_bucketed_pairs_need_no_exchange(spark):
         assert "SortMergeJoin" in plan and "Exchange" not in plan
     finally:
         spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+def test_time_split_reads_its_rows_once(spark, micro_tx):
+    """What makes the rows (here a join) runs once, not in every scan of the selection and again for the result."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(len(b))
+            yield b
+
+    rows = micro_tx.select("id", "date").mapInPandas(seen, "id bigint, date timestamp")
+    got = IN.split_by_time(rows, 0.3).collect()
+    assert calls.value == len(got) == micro_tx.count()
