@@ -219,3 +219,13 @@ def test_ellipsis_cuts_long_labels(spark):
 
     got = spark.createDataFrame([("a" * 30,), ("short",)], "x string").select(ellipsize("x", 20).alias("y")).collect()
     assert len(got[0]["y"]) <= 23 and got[0]["y"].endswith("...") and got[1]["y"] == "short"
+
+
+def test_plan_does_not_grow_with_the_square_of_the_blocks(spark):
+    """Sixty blocks of items were sixty branches, each with all edges, wherever a plan had an item."""
+    cols = [F.rand(j).alias(c) for j, c in enumerate(FA.fcols("f", 3))]
+    model = FA.FactorModel("svd", 3, spark.range(4).select(F.col("id").alias("key"), *cols), spark.range(120).select(F.col("id").alias("key"), *cols))
+    visits = spark.range(4).select(F.col("id").alias("client_id"), F.col("id").alias("merchant_id"))
+    items = spark.range(120).select(F.col("id").alias("merchant_id"))
+    size = lambda block: len(FA.recommend_factors(model, visits, items, n=2, item_block=block)._jdf.queryExecution().analyzed().toString())
+    assert size(2) < 5 * size(20)
