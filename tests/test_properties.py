@@ -88,3 +88,21 @@ def test_recall_monotone_in_k(ix001):
         r = g.sort_values("k")["recall"].tolist()
         assert r == sorted(r)
         assert (g["precision"] <= 1).all() and (g["recall"] <= 1).all()
+
+
+def test_popular_lists_skip_visited_without_a_row_for_each(spark):
+    """Requested users without history, one who visited all, ties by id; no rank passed over becomes a row."""
+    from tillrec.operators.neighbors import recommend_popular
+
+    visits = {1: [10, 11, 12, 13, 14], 2: [10], 3: [11, 12], 4: [10, 14]}
+    ix = spark.createDataFrame([(u, i, 1) for u, v in visits.items() for i in v], "client_id bigint, merchant_id bigint, transaction_count bigint")
+    users = spark.createDataFrame([(1,), (2,), (4,), (9,)], "client_id bigint")
+    order = [10, 11, 12, 14, 13]  # visited 3, 2, 2, 2 and 1 times
+    for asked, names in ((None, visits), (users, [1, 2, 4, 9])):
+        df = recommend_popular(ix, users=asked, n=3)
+        got = {}
+        for r in df.orderBy("client_id", "rank").collect():
+            got.setdefault(r.client_id, []).append((r["rank"], r.merchant_id))
+        exp = {u: [*enumerate([i for i in order if i not in visits.get(u, [])][:3], 1)] for u in names}
+        assert got == {u: v for u, v in exp.items() if v}
+        assert "LeftAnti" not in df._jdf.queryExecution().optimizedPlan().toString()

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tillrec.operators import neighbors as NB
 from tillrec.operators import similarity as SI
 from tillrec.operators.evaluate import list_diversity
 
@@ -174,3 +175,14 @@ def test_list_diversity_equals_brute_force(spark):
     for m in exp:
         assert got[m][0] == exp[m][0] and abs(got[m][1] - exp[m][1]) < 1e-6
     assert list_diversity(df.where("client_id = 0"), ix).count() == 0
+
+
+def test_visits_travel_as_lists(spark, monkeypatch):
+    """User-based lists: visits are laid out after the shuffle by user, and cutting long lists changes nothing."""
+    ix = table(spark)
+    whole = NB.recommend_user_based(ix, n=5)
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Generate explode") < plan.index("RepartitionByExpression [client_id")
+    exp = sorted(tuple(r) for r in whole.collect())
+    monkeypatch.setattr(NB, "LIST_VISITS", 1)
+    assert exp and sorted(tuple(r) for r in NB.recommend_user_based(ix, n=5).collect()) == exp
