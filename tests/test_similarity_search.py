@@ -186,3 +186,14 @@ def test_visits_travel_as_lists(spark, monkeypatch):
     exp = sorted(tuple(r) for r in whole.collect())
     monkeypatch.setattr(NB, "LIST_VISITS", 1)
     assert exp and sorted(tuple(r) for r in NB.recommend_user_based(ix, n=5).collect()) == exp
+
+
+def test_item_based_sides_travel_as_lists(spark, monkeypatch):
+    """Many blocks, and visits of a user in lists of one, give what one block gives; neither side is a row for each visit or pair."""
+    ix = table(spark)
+    exp = sorted(tuple(r) for r in NB.recommend_item_based(ix, n=5).collect())
+    monkeypatch.setattr(NB, "LIST_VISITS", 1)
+    cut = NB.recommend_item_based(ix, n=5, user_block=40, item_block=100)
+    inputs = cut._jdf.queryExecution().analyzed().toString()
+    assert "collect_list(struct(_v" in inputs and "collect_list(struct(merchant_id" in inputs
+    assert exp and sorted(tuple(r) for r in cut.collect()) == exp
