@@ -49,6 +49,20 @@ def test_products_are_the_same_by_shuffle(svd, ratings, monkeypatch):
     assert np.isfinite(FA.fit_nmf(ratings, k=2, max_iter=2).reconstruction_err)
 
 
+def test_factors_of_many_users_stay_off_the_driver(spark, ratings):
+    """900,000 users by 30 columns (216 MB) were broadcast; and X itself moves in no product."""
+    mx = FA._Matrix(ratings, "client_id", "merchant_id", "rating")
+    mx.n[FA.U] = 900_000
+    cols = FA.fcols("f", 30)
+    fac = mx.keys(FA.U).select("key", *[F.lit(1.0).alias(c) for c in cols])
+    plan = mx.product(FA.U, FA.I, fac, cols, cols)._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+    got = {r["key"]: r["f29"] for r in mx.product(FA.U, FA.I, fac, cols, cols).collect()}
+    want = {r["merchant_id"]: r["s"] for r in ratings.groupBy("merchant_id").agg(F.sum("rating").alias("s")).collect()}
+    mx.release()
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 * abs(want[k]) for k in want)
+
+
 def test_nmf_converges(ratings, dense):
     m = FA.fit_nmf(ratings, k=4)
     w, h = table(m.users, 4, 200), table(m.items, 4, 200)
