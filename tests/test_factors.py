@@ -1,6 +1,7 @@
 """Latent-factor operators against NumPy; evaluation runs share one split."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,71 @@ def test_few_products_are_formed_where_norms_fall(spark):
     assert (work.dense == 50 * 400).all() and work.scored.sum() < 0.5 * 50 * 400
 
 
+def test_few_users_sent_on_draw_one_copy_of_a_block(spark, monkeypatch):
+    """Five of 200 users look the other way and meet every block.  They are grouped
+    anew, so each further block is copied once, not for each of ten user blocks."""
+    rng = np.random.default_rng(5)
+    h = np.stack([3.0 - np.arange(300) * 0.008, rng.uniform(0, 0.05, 300)], axis=1)
+    w = np.tile([1.0, 0.01], (200, 1)) * rng.uniform(1, 1.2, (200, 1))
+    odd = [17, 50, 101, 133, 180]
+    w[odd] = [0.01, 1.0]
+    as_table = lambda x: spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "key bigint, f0 double, f1 double")
+    model = FA.FactorModel("als", 2, as_table(w), as_table(h))
+    seen = spark.range(200).select(F.col("id").alias("client_id"), (F.col("id") % 20).alias("merchant_id"))
+    items = spark.range(300).select(F.col("id").alias("merchant_id"))
+    written, real = [], FA.reliable
+
+    def spy(df):
+        out = real(df)
+        if "_to" in out.columns:
+            written.append(sorted((r["client_id"], len(r["_to"])) for r in out.collect()))
+        return out
+
+    met = spark.sparkContext.accumulator(0)
+    cell = FA._factor_cell
+
+    def counted(a, b, *rest):
+        met.add(len(b))
+        return cell(a, b, *rest)
+
+    monkeypatch.setattr(FA, "reliable", spy)
+    monkeypatch.setattr(FA, "_factor_cell", counted)
+    top = FA.recommend_factors(model, seen, items, n=5, user_block=20, item_block=50, step=10)
+    got = {}
+    for r in top.orderBy("client_id", "rank").collect():
+        got.setdefault(r["client_id"], []).append(r["merchant_id"])
+    score = np.round(w @ h.T, 9)
+    score[np.arange(200), np.arange(200) % 20] = -np.inf
+    assert got == {u: np.lexsort((np.arange(300), -score[u]))[:5].tolist() for u in range(200)}
+    assert met.value <= 10 * 60 + 300  # ten copies of the first block, one of the others
+    assert written == [[(u, 5) for u in odd]]
+
+
+@pytest.mark.parametrize("clip_range", [None, (1.0, 5.0)])
+def test_lists_of_a_cell_are_merged_for_all_users_at_once(clip_range):
+    """Ties, users that own much of a block, floors and undefined factors; no frame for each user."""
+    rng = np.random.default_rng(2)
+    f, h = rng.integers(0, 3, (700, 4)).astype(float), rng.integers(0, 3, (90, 4)).astype(float)
+    f[5, 0] = np.nan
+    ids = rng.permutation(300)[:90]
+    own = [rng.choice(ids, rng.integers(0, 90), replace=False) for _ in range(700)]
+    floor = rng.choice([-np.inf, 3.0], 700)
+    a = pd.DataFrame({"u": np.arange(700), "_f": list(f), "_norm": np.linalg.norm(f, axis=1), "_floor": floor, "_own": own})
+    b = pd.DataFrame({"i": ids, "_f": list(h), "_norm": np.linalg.norm(h, axis=1)})
+    frames, concat = [], pd.concat
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(FA.pd, "concat", lambda parts: frames.append(len(parts)) or concat(parts))
+        out = FA._factor_cell(a, b, "u", "i", 6, clip_range, 16, False)
+    assert frames == [-(-700 // FA.BATCH)]
+    got = {u: list(zip(g["i"], g["score"])) for u, g in out.groupby("u")}
+    for u in range(700):
+        s = f[u] @ h.T
+        s = np.clip(s, *clip_range) if clip_range else s
+        s = np.where(np.isin(ids, own[u]) | ~(s >= floor[u]), -np.inf, s)
+        order = [k for k in np.lexsort((ids, -s))[:6] if s[k] > -np.inf]
+        assert got.get(u, []) == [(ids[k], s[k]) for k in order]
+
+
 def test_predictions_and_factor_items(svd, ratings, dense):
     p = FA.predict(svd, ratings.limit(50)).collect()
     full = table(svd.users, 5, 200) @ table(svd.items, 5, 200).T
