@@ -236,3 +236,102 @@ def test_evaluation_writes_its_split_once(spark):
     for t in (run.train, run.relevant, run.users, run.n_items):
         plan = t._jdf.queryExecution().optimizedPlan().toString()
         assert "LogicalRDD" in plan and "Window" not in plan
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(k).getName().startswith("shuffle_") for k in range(files.size()))
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """They stayed until the driver happened to collect its garbage."""
+    import time
+
+    before = _shuffle_files(spark)
+    kept = SI.reliable(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(5))
+    for _ in range(50):
+        if _shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert _shuffle_files(spark) <= before
+    assert sorted(map(tuple, kept.collect())) == sorted((k, len(range(k, 1000, 7))) for k in range(7))
+
+
+def test_rows_go_to_cells_packed(spark):
+    """Every group was joined and sent as a row of lists for each pair of blocks; now rows of a key travel together."""
+    ix = table(spark)
+    for fn in (SI.user_similarity, SI.item_similarity, SI.nearest_neighbors):
+        plan = fn(ix)._jdf.queryExecution().analyzed().toString()
+        assert "MapInArrow" in plan and "collect_list" not in plan
+    w = SI._narrow(SI._weighted(SI._cells(ix, "client_id", "merchant_id", "transaction_count"))).withColumn("_g", F.lit(0).cast("bigint"))
+    rows = w.select("_g", "_x", "_k", "_v", "_s", "_q").coalesce(1).toArrow().to_batches()
+    (lists,) = SI._packed(iter(rows), 10**6)
+    assert lists.num_rows == 1 and len(lists.column("_k")[0]) == ix.select("client_id").distinct().count()
+    assert len(lists.column("_x")[0]) == sum(lists.column("_len")[0].as_py()) == ix.count()
+    assert str(lists.schema.field("_k").type.value_type) == "int32" and str(lists.schema.field("_v").type.value_type) == "int16"
+
+
+@pytest.mark.parametrize("size", [5, 400])
+def test_keep_best_takes_the_first_of_equal_ones(size):
+    rng = np.random.default_rng(size)
+    group = np.sort(np.append(rng.integers(0, 20, size), np.full(3 * size, 21)))
+    score = rng.choice([0.1, 0.2, 0.3], len(group))
+    want = np.zeros(len(group), bool)
+    for g in set(group.tolist()):
+        rows = np.flatnonzero(group == g)
+        want[rows[np.argsort(-score[rows], kind="stable")[:3]]] = True
+    assert (SI.keep_best(group, score, 3) == want).all()
+    wide = np.sort(np.append(group, np.arange(22, 4000)))  # many groups, one large: no table of all by the largest
+    assert SI.keep_best(wide, np.append(score, np.ones(len(wide) - len(score))), 3).sum() == want.sum() + 3978
+
+
+def test_item_based_needs_no_table_of_pairs(spark):
+    """Pairs were copied to every block of users; visits alone give the same lists, for some users and ids that are text too."""
+    for text in (False, True):
+        ix = table(spark, text=text)
+        wanted = ix.select("client_id").distinct().orderBy("client_id").limit(9)
+        for users in (None, wanted):
+            top = NB.recommend_item_based(ix, users=users, n=4)
+            plan = top._jdf.queryExecution().analyzed().toString()
+            assert "CoGroups" not in plan and "FlatMapGroups" not in plan
+            pairs = NB.recommend_item_based(ix, users=users, n=4, user_block=10**6, item_block=10**6)
+            assert top.dtypes == pairs.dtypes
+            got = sorted(tuple(r) for r in top.collect())
+            assert got and got == sorted(tuple(r) for r in pairs.collect())
+    few = NB.recommend_item_based(ix, n=4, held_visits=3)
+    assert sorted(tuple(r) for r in few.collect()) == sorted(tuple(r) for r in NB.recommend_item_based(ix, n=4).collect())
+    assert NB.recommend_item_based(ix.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("held,chunk", [(10**6, 10**6), (40, 50), (1, 7)])
+def test_shares_of_users_add_up(monkeypatch, held, chunk):
+    """Users in steps, visits sorted in ranges and one user with more products than a step, against the definition."""
+    import pandas as pd
+
+    monkeypatch.setattr(NB, "HELD_PRODUCTS", held)
+    monkeypatch.setattr(NB, "CHUNK", chunk)
+    rng = np.random.default_rng(4)
+    c = np.where(rng.random((25, 18)) < 0.2, rng.integers(1, 4, (25, 18)), 0)
+    c[24, :17] = 1  # nearly all items
+    c[:, 0][c.sum(axis=1) == 0] = 1
+    keys = np.arange(25) * 3
+    rows = [{"_k": keys[[u]], "_s": [0.0], "_q": [u != 5], "_len": np.array([len(i)]), "_x": i[::-1] * 10, "_v": c[u, i[::-1]].astype(np.int16)}
+            for u in range(25) for i in np.array_split(np.flatnonzero(c[u]), 2) if len(i)]
+    sim = c.T @ c / np.sqrt(np.outer((c * c).sum(axis=0), (c * c).sum(axis=0)).clip(1))
+    want = set()
+    for u in range(25):
+        den = sim[:, c[u] > 0].sum(axis=1)
+        score = np.where((c[u] == 0) & (den > 0), np.round(sim @ c[u] / np.where(den > 0, den, 1), 9), -1)
+        order = [i for i in np.lexsort((np.arange(18), -score))[:3] if score[i] >= 0]
+        want |= {(3 * u, r + 1, 10 * i, score[i]) for r, i in enumerate(order) if u != 5}
+    got = []
+    for share in range(3):
+        for u, r, i, s in NB._share_lists(SI._Side(pd.DataFrame(rows)), share, 3, 3):
+            got += zip(u.tolist(), r.tolist(), i.tolist(), np.round(s, 9).tolist())
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_neighbours_are_found_once(spark):
+    """They were found again to count the users of each."""
+    plan = NB.recommend_user_based(table(spark))._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" not in plan
