@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -309,3 +310,43 @@ def test_plan_does_not_grow_with_the_square_of_the_blocks(spark):
     items = spark.range(120).select(F.col("id").alias("merchant_id"))
     size = lambda block: len(FA.recommend_factors(model, visits, items, n=2, item_block=block)._jdf.queryExecution().analyzed().toString())
     assert size(2) < 5 * size(20)
+
+
+def test_blocks_of_a_grid_share_no_partition(spark, ratings, monkeypatch):
+    """Products summed where X lay by one key sent a row for each user and partition; in a grid, one for each group of the other key."""
+    monkeypatch.setattr(FA, "BROADCAST_FACTOR_BYTES", 0)
+    monkeypatch.setattr(FA, "GRID_RATINGS", 200)
+    mx = FA._Matrix(ratings, "client_id", "merchant_id", "rating")
+    assert mx.groups and mx.parts == mx.groups["u"] * mx.groups["i"] >= 9
+    rows = ratings.select("client_id", "merchant_id", "rating").collect()
+    for key, out in (("u", "i"), ("i", "u")):
+        placed = mx.by[key].withColumn("p", F.spark_partition_id())
+        assert placed.groupBy("p").agg(F.countDistinct(FA.BLOCK).alias("n")).agg(F.max("n")).first()[0] == 1
+        assert placed.groupBy(out).agg(F.countDistinct("p").alias("n")).agg(F.max("n")).first()[0] <= mx.groups[key]
+        fac = mx.keys(key).select("key", (F.col("key") % 7 + 1).cast("double").alias("f0"))
+        want = {}
+        for u, i, x in rows:
+            k, o = (u, i) if key == "u" else (i, u)
+            want[o] = want.get(o, 0.0) + x * (k % 7 + 1)
+        product = mx.product(key, out, fac, ["f0"], ["f0"])
+        got = {r["key"]: r["f0"] for r in product.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+        above = mx.product(key, out, fac, ["f0"], ["f0"])._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+        assert above.count("Exchange") == 1  # the sums; X stays where it is
+    monkeypatch.setattr(FA, "STEP_RATINGS", 3)
+    x = pa.table({"u": [1, 2, 1, 3, 1, 9], "i": ["a", "b", "b", "c", "d", "z"], "x": [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]})
+    f = pa.table({"i": ["d", "c", "b", "a"], "f0": [4.0, 3.0, 2.0, 1.0], "f1": [1.0, 1.0, 1.0, 0.0]})
+    assert FA._block_product(x, f, "i", "u", ["f0", "f1"]).to_pydict() == {"key": [1, 2, 3], "f0": [27.0, 4.0, 12.0], "f1": [8.0, 2.0, 4.0]}
+    assert FA._block_product(x, f.slice(0, 0), "i", "u", ["f0", "f1"]).num_rows == 0
+    mx.release()
+
+
+def test_written_factors_keep_no_second_copy(spark, ratings):
+    """A factor table was persisted and written, and the files of its shuffles stayed."""
+    mx = FA._Matrix(ratings, "client_id", "merchant_id", "rating")
+    fac = mx.keys("i").select("key", F.lit(1.0).alias("f0"))
+    kept = mx.keep(mx.product("i", "u", fac, ["f0"], ["f0"]))
+    mx.release()
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and "InMemoryRelation" not in plan
+    assert kept.count()
